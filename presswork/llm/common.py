@@ -62,3 +62,8 @@ def unit(column: Column, salt: str) -> Column:
     """
     digest = F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(column.cast("string"), F.lit("null"))).cast("binary")), 1, 13)
     return (F.conv(digest, 16, 10).cast("bigint").cast("double") + 0.5) / float(16**13)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, so that a Python worker never holds many long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from presswork.llm import quality
-from presswork.llm.common import read
+from presswork.llm import chat, mixing, quality, warc
+from presswork.llm.common import new_path, read
+
+#: The conversation that every formatting run must survive (a fixed value).
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.chat_windows(turns.unionByName(tricky)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +27,57 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = warc.read_archive(spark, path, payload=False).where("gap is null")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": op2_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_mixing": r"""
+with sized as (
+  select doc_id, source, size, -ln((('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double)
+    / least(1.0::double, (size::double + 1::double) / 200::double) as key
+  from (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents)),
+sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as n from sized group by source),
+w as (select *, ((n - 1) % 3 + 1)::double as w, (3 * source_size)::double as cap from sources),
+levels as (
+  select *, ((sum(source_size) over ())::double - coalesce(sum(cap) over (order by cap / w, n rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (order by cap / w, n rows between current row and unbounded following) as level from w),
+target as (
+  select source, source_size, least(cap, coalesce((select level from levels where cap >= level * w order by cap / w, n limit 1), 0) * w) as target from levels),
+plan as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from target),
+run as (
+  select d.doc_id, d.size, p.source_size, p.target, p.epochs, p.target - (p.epochs * p.source_size)::double as rest,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0) as before
+  from sized d join plan p on d.source is not distinct from p.source)
+select doc_id, size, source_size, target, (case when size > 0 then size * (epochs + case when before + size / 2.0::double <= rest then 1 else 0 end) else 0 end)::bigint as taken
+from run
+""",
+    "op8_warc": r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html))::bigint as n, sha1(html) as h from p),
+b as (select page_id, n, h, list_transform(range(20), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::int) || [0] as bytes, max(page_id) over (partition by h) as top from d)
+select page_id, n as payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((bytes[(5 * j) // 8 + 1] * 256 + bytes[(5 * j) // 8 + 2]) >> (11 - (5 * j) % 8)::int) & 31)::int + 1, 1)), '') as payload_digest,
+  case when top is null or page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id <> top then top end as refers_to
+from b
+""",
+}
