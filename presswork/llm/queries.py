@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import chat, mixing, quality, warc
+from presswork.llm import chat, langid, mixing, quality, warc
 from presswork.llm.common import new_path, read
 
 #: The conversation that every formatting run must survive (a fixed value).
@@ -39,7 +39,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    trees = langid.train(docs.select("doc_id", "lang", "text"))
+    out = langid.predict_language(docs.select("doc_id", "text"), trees)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_language_id": op10_language_id,
     "op2_chat_formatting": op2_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
