@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import chat, langid, mixing, quality, warc
+from presswork.llm import chat, langid, mixing, pieces, quality, warc
 from presswork.llm.common import new_path, read
 
 #: The conversation that every formatting run must survive (a fixed value).
@@ -27,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mixed(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op2_chat_formatting": op2_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
 }
