@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import chat, html, langid, mixing, pieces, quality, warc
+from presswork.llm import chat, html, langid, mixing, pieces, quality, topk, warc
 from presswork.llm.common import new_path, read
 
 #: The conversation that every formatting run must survive (a fixed value).
@@ -20,6 +20,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns.unionByName(tricky)))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs, keep_text=False).select(
@@ -57,6 +62,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_topk_search": op4_topk_search,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
@@ -65,6 +71,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_topk_search": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+""",
     "op7_mixing": r"""
 with sized as (
   select doc_id, source, size, -ln((('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double)
