@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import chat, html, langid, mixing, pieces, quality, topk, warc
+from presswork.llm import chat, html, langid, mixing, neardup, pieces, quality, topk, warc
 from presswork.llm.common import new_path, read
 
 #: The conversation that every formatting run must survive (a fixed value).
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
@@ -61,6 +65,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_topk_search": op4_topk_search,
     "op5_quality_rules": op5_quality_rules,
