@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import chat, html, langid, mixing, neardup, pieces, quality, topk, warc
+from presswork.llm import chat, html, langid, mixing, neardup, pieces, quality, suffixes, topk, warc
 from presswork.llm.common import new_path, read
 
 #: The conversation that every formatting run must survive (a fixed value).
@@ -24,6 +24,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns.unionByName(tricky)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_topk_search": op4_topk_search,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
