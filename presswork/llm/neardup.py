@@ -10,8 +10,9 @@ weighted Jaccard similarity.
 
 Equal word sequences are first folded into one representative. Representatives that
 agree on a whole band meet in a bucket. Each bucket's most connected member is its
-centre, and the others are compared with it; members of a bucket that are then still in
-different groups are compared with each other. What is compared is first estimated on
+centre, and the others are compared with it. Groups that then still meet in a bucket form
+a family; members of different groups of a family are compared block by block. What is
+compared is first estimated on
 the signatures (one that differs from 0.8 by more than six standard deviations is set
 aside) and then counted exactly on the shingles. Links join into classes by distributed
 star rounds.
@@ -41,6 +42,8 @@ from presswork.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 4
 K = BANDS * ROWS
+#: Members of a family that are compared in one group.
+BLOCK = 4096
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 SLICE = 1 << 20
@@ -236,9 +239,13 @@ def _linked(threshold: float, weighted: bool):
     return of
 
 
+def _least(threshold: float) -> float:
+    """Six standard deviations below the threshold, as a count of equal signature bytes."""
+    return K * (threshold - 6 * math.sqrt(threshold * (1 - threshold) / K))
+
+
 def _close(threshold: float):
-    #: Six standard deviations below the threshold, as a count of equal signature bytes.
-    least = K * (threshold - 6 * math.sqrt(threshold * (1 - threshold) / K))
+    least = _least(threshold)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,6 +256,69 @@ def _close(threshold: float):
     return of
 
 
+def family_links(own: np.ndarray, reps: np.ndarray, labels: np.ndarray, sigs: np.ndarray, sets: list[bytes], threshold: float, weighted: bool) -> Iterator[tuple[int, int]]:
+    """Links between members with different labels (and of different blocks, if there are two).
+
+    Labels that a link has joined are not compared again.
+    """
+    names, label, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    order = np.argsort(np.argsort(-sizes, kind="stable"), kind="stable")[label]
+    by = np.argsort(order, kind="stable")
+    own, reps, label, sigs, order = own[by], reps[by], label[by], sigs[by], order[by]
+    kind = np.dtype([("h", "<u8"), ("n", "<u4")])
+    rows = [np.frombuffer(sets[k], kind) for k in by.tolist()]
+    weight = np.array([int(r["n"].sum()) if weighted else len(r) for r in rows], np.int64)
+    hashes = [np.ascontiguousarray(r["h"]) for r in rows]
+    root = np.arange(len(names))
+    two = len(np.unique(own)) > 1
+    least = _least(threshold)
+    for i in range(int(np.searchsorted(order, 1)), len(reps)):
+        ok = (root[label[:i]] != root[label[i]]) & (np.minimum(weight[:i], weight[i]) >= threshold * np.maximum(weight[:i], weight[i]))
+        if two:
+            ok &= own[:i] != own[i]
+        ok = np.flatnonzero(ok)
+        ok = ok[(sigs[ok] == sigs[i]).sum(1) >= least]
+        for k in range(0, len(ok), 256):
+            part = ok[k : k + 256]
+            part = part[root[label[part]] != root[label[i]]]
+            if not len(part):
+                continue
+            if weighted:
+                score = np.array([similarity(rows[j].tobytes(), rows[i].tobytes(), True) for j in part.tolist()])
+            else:
+                every = np.concatenate([hashes[j] for j in part.tolist()])
+                ends = np.cumsum(weight[part])
+                at = np.minimum(np.searchsorted(hashes[i], every), len(hashes[i]) - 1)
+                hit = np.concatenate([[0], np.cumsum(hashes[i][at] == every)])
+                both = hit[ends] - hit[ends - weight[part]]
+                score = both / (weight[part] + weight[i] - both)
+            for j in part[score >= threshold].tolist():
+                if root[label[j]] != root[label[i]]:
+                    yield int(reps[i]), int(reps[j])
+                    root[root == root[label[j]]] = root[label[i]]
+
+
+def _between(threshold: float, weighted: bool):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            own, reps, labels, sigs, sets = zip(*held, strict=True)
+            found = list(family_links(np.array(own), np.array(reps), np.array(labels), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, K), list(sets), threshold, weighted))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        key, held = None, []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("family", "p", "q", "own", "rep", "label", "sig", "shingles")), strict=True):
+                if held and row[:3] != key:
+                    yield done()
+                    held = []
+                key = row[:3]
+                held.append(row[3:])
+        if held:
+            yield done()
+
+    return of
+
+
 class Verifier:
     """Exact comparison of pairs of representatives, in two joins."""
 
@@ -259,13 +329,32 @@ class Verifier:
         """Pairs (a, b, x, y with signatures) that the estimate does not rule out."""
         return pairs.mapInArrow(_close(self.threshold), "a long, b long").distinct()
 
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """(rep, shingles) of the wanted ids."""
+        wanted = materialise(wanted, "wanted")
+        hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda x: x
+        texts = self.docs.join(hint(wanted), "doc_id", "left_semi").select("doc_id", "text")
+        return materialise(texts.mapInArrow(_sets, "rep long, shingles binary"), "sets").dropDuplicates(["rep"])
+
+    def between(self, members: DataFrame, sigs: DataFrame) -> DataFrame:
+        """Links (a, b) between different labels of a family; ``members``: family, rep, label.
+
+        Every pair of a family with different labels is estimated, and counted where the
+        estimate leaves it open. A large family is cut into blocks, and each pair of
+        blocks is a group of its own, so no task holds more than two blocks.
+        """
+        blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        m = members.join(blocks, "family").join(sigs, "rep").join(self._sets(members.select(F.col("rep").alias("doc_id"))), "rep")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        m = m.withColumn("own", own).withColumn("other", other).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+        dealt = m.select("family", "p", "q", "own", "rep", "label", "sig", "shingles").repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
+        return materialise(dealt.mapInArrow(_between(self.threshold, self.weighted), "a long, b long"), "links")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that reach the threshold; a should be the commoner side."""
         pairs = materialise(pairs, "pairs")
-        wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-        hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda x: x
-        sets = materialise(self.docs.join(hint(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, shingles binary"), "sets")
-        sets = sets.dropDuplicates(["rep"])
+        sets = self._sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         two = one.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
         return materialise(two.select("a", "b", "x", "y").mapInArrow(_linked(self.threshold, self.weighted), "a long, b long"), "links")
@@ -302,12 +391,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weighted: bool = Fa
     links = compared(stars)
     group = materialise(components(links), "groups")
     labelled = member.join(group, member["rep"] == group["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    rest = materialise(labelled.join(mixed, "band"), "rest")
-    p, q = (rest.select("band", F.col("rep").alias(a), F.col("label").alias(f"l{a}")) for a in ("a", "b"))
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = p.join(q, "band").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    group = materialise(components(links.union(compared(more))), "groups")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "low")
+    rest = materialise(labelled.join(mixed, "band").select("rep", "label", "low").distinct(), "rest")
+    family = components(rest.select(F.col("label").alias("a"), F.col("low").alias("b"))).withColumnRenamed("label", "family")
+    left_over = rest.select("rep", "label").distinct().join(family, F.col("label") == F.col("node")).select("family", "rep", "label")
+    more = verifier.between(materialise(left_over, "families"), reps.select("rep", "sig"))
+    group = materialise(components(links.union(more)), "groups")
     named = ids.join(group, ids["rep"] == group["node"], "left").select("key", F.coalesce("label", "rep").alias("class_id"))
     one = sketch.select("doc_id", "key", "n").distinct()
     return one.where("n > 0").join(named, "key").select("doc_id", "class_id").union(one.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
