@@ -43,8 +43,6 @@ from presswork.llm.common import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stands for U+2581 in a text, which has no piece of its own (a fixed value: a noncharacter).
-LITERAL = "﷐"
 #: Costs are in this part of a natural logarithm.
 UNIT = 64
 #: Above the highest cost, for a character outside the vocabulary.
@@ -153,7 +151,7 @@ class Stream:
     def _emit(self, piece: str) -> None:
         i = self.v.ids.get(piece)
         if i is None:
-            self.out.extend(self.v.byte_ids[b] for b in (SPACE if piece == LITERAL else piece).encode("utf-8", "surrogatepass"))
+            self.out.extend(self.v.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
         else:
             self.out.append(i)
 
@@ -219,7 +217,8 @@ class Encoder:
         self.v = vocabulary
         self.segments = vocabulary.pattern().findall
         self.table = PieceTable(vocabulary)
-        self.cache: dict[str, bytes] = {}
+        #: Ids by segment; the empty segment stands for a U+2581 of the text itself.
+        self.cache: dict[str, bytes] = {"": array("i", [vocabulary.byte_ids[b] for b in SPACE.encode()]).tobytes()}
 
     def _ids(self, segment: str) -> bytes:
         """Ids of one segment, as the bytes of 32-bit integers."""
@@ -293,12 +292,22 @@ class Encoder:
         for k in np.flatnonzero(odd).tolist():
             self.cache[segments[k]] = self._ids(segments[k])
 
+    def _cut(self, text: str) -> list[str]:
+        if not text:
+            return []
+        first, *rest = text.split(SPACE)
+        out = self.segments(SPACE + first.replace(" ", SPACE))
+        for part in rest:
+            out.append("")
+            out += self.segments(part.replace(" ", SPACE))
+        return out
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as the bytes of 32-bit integers."""
         if len(self.cache) > CACHE_SEGMENTS:
-            self.cache.clear()
+            self.cache = {"": self.cache[""]}
         cache = self.cache
-        cut = [self.segments(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [self._cut(t) for t in texts]
         new = set().union(*cut).difference(cache)
         long = {s: self._ids(s) for s in new if len(s) > LONG_SEGMENT}
         new = [s for s in new if len(s) <= LONG_SEGMENT]
