@@ -124,5 +124,25 @@ select page_id, n as payload_bytes,
   case when top is null or page_id = top then 'response' else 'revisit' end as record_type,
   case when page_id <> top then top end as refers_to
 from b
+""",
+    "op9_html_extraction": r"""
+with a as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(</article>|$)', 1) as h from pages),
+b as (
+  select page_id, url, list_filter(list_transform(regexp_split_to_array(h, '</?(p|h1|br)[^>]*>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*(>|$)', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') as t from a)
+select page_id, url, array_to_string(t, ' ') as text, len(array_to_string(t, ' '))::bigint as n_chars from b
+""",
+    "op3_suffix_dedup": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5(substr(h, (2 * i + 1)::bigint, 800)) as m from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 399, 0))) as i from d)),
+u as (select m from w group by m having count(*) > 1),
+r as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i), -1000) + 400 as fresh from w semi join u using (m)),
+g as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as k from r),
+s as (select doc_id, k, min(i) as a, max(i) + 400 as b from g group by all),
+p as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as was from s),
+kept as (select doc_id, h, string_agg(substr(h, (2 * was + 1)::bigint, (2 * (a - was))::bigint), '' order by a) || substr(h, (2 * max(b) + 1)::bigint) as rest, sum(b - a) as gone, count(*) as n from d join p using (doc_id) group by all)
+select d.doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, d.h))) as kept_sha256
+from d left join kept using (doc_id)
 """,
 }
