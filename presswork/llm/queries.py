@@ -141,7 +141,7 @@ r as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i
 g as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as k from r),
 s as (select doc_id, k, min(i) as a, max(i) + 400 as b from g group by all),
 p as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as was from s),
-kept as (select doc_id, h, string_agg(substr(h, (2 * was + 1)::bigint, (2 * (a - was))::bigint), '' order by a) || substr(h, (2 * max(b) + 1)::bigint) as rest, sum(b - a) as gone, count(*) as n from d join p using (doc_id) group by all)
+kept as (select doc_id, string_agg(substr(h, (2 * was + 1)::bigint, (2 * (a - was))::bigint), '' order by a) || substr(any_value(h), (2 * max(b) + 1)::bigint) as rest, sum(b - a) as gone, count(*) as n from d join p using (doc_id) group by doc_id)
 select d.doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, d.h))) as kept_sha256
 from d left join kept using (doc_id)
 """,
