@@ -58,11 +58,14 @@ class ContextTrees:
         counts3 = np.zeros((n_langs, a**3), np.int32)
         fours = []
         for k, lang in enumerate(self.langs):
-            s = np.concatenate([np.concatenate([[0, 0, 0], self.symbol[np.frombuffer(t, np.uint8)]]) for t in texts[lang]] or [np.zeros(3, np.int32)])
-            s = s.astype(np.int64)
-            three = (s[:-2] * a + s[1:-1]) * a + s[2:]
-            counts3[k] = np.bincount(three, minlength=a**3)
-            fours.append(np.unique((three[:-1] * a + s[3:]), return_counts=True))
+            threes, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t in texts[lang]:
+                s = np.concatenate([[0, 0, 0], self.symbol[np.frombuffer(t, np.uint8)]]).astype(np.int64)
+                three = (s[:-2] * a + s[1:-1]) * a + s[2:]
+                threes.append(three)
+                pairs.append(three[:-1] * a + s[3:])
+            counts3[k] = np.bincount(np.concatenate(threes), minlength=a**3)
+            fours.append(np.unique(np.concatenate(pairs), return_counts=True))
 
         def step(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
             """Probabilities (context, symbol) from counts and those of the shorter context."""

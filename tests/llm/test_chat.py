@@ -51,7 +51,7 @@ def test_windows_keep_to_the_budget(spark):
         turns = chat.parse(w["formatted"])
         fresh = len(turns) - w["n_repeated"]
         assert fresh >= 1
-        assert tokens(w["formatted"]) <= 100 + 3 * len(turns) or fresh == 1
+        assert tokens(w["formatted"]) <= 100 + 3 * len(turns) or fresh - (turns[0][0] == "system") <= 1
         if w["conv_id"] in (0, 3, 6, 9):
             assert turns[0] == ("system", "be kind")
         spans = [chat.unescape(w["formatted"][s["start"] : s["end"]]) for s in w["loss"]]

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from presswork.llm import langid
 from tests.llm.helpers import ODD
@@ -22,7 +23,7 @@ def test_held_out_accuracy(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, lang string, text string, score int")
     trees = langid.train(df, per_lang=60)
     assert trees.langs == ["de", "en", "fr"]
-    got = langid.predict_language(df.select("doc_id", "text", "score"), trees).withColumn("held", langid.held_out(df["doc_id"])).collect()
+    got = langid.predict_language(df.select("doc_id", "text", "score"), trees).withColumn("held", langid.held_out(F.col("doc_id"))).collect()
     assert len(got) == len(rows)
     truth = {r[0]: r[1] for r in rows}
     for r in got:
