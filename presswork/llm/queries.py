@@ -82,6 +82,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+with recursive t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from t),
+f as (
+  select *, k = 1 and role = 'system' as sys,
+    '### ' || replace(regexp_replace(role, '(\\|###|</turn>)', '\\\1', 'g'), ':', '\:') || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || ' </turn>' || chr(10) as shown from o),
+c as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+    coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '') as loss,
+    coalesce(max((octet_length(encode(shown)) + 3) // 4) filter (sys), 0)::bigint as fixed, coalesce(max(len(shown)) filter (sys), 0)::bigint as sys_chars,
+    coalesce(list(((octet_length(encode(shown)) + 3) // 4)::bigint order by k) filter (not sys), []) as ts, coalesce(list(len(shown)::bigint order by k) filter (not sys), []) as cs
+  from f group by 1),
+s as (
+  select *, len(ts)::bigint as n, list_transform(range(0, len(ts) + 1), lambda x: coalesce(list_sum(ts[1:x]), 0)::bigint) as p,
+    list_transform(range(0, len(ts) + 1), lambda x: coalesce(list_sum(cs[1:x]), 0)::bigint) as q from c),
+walk(conv_id, i, chars, windows) as (
+  select conv_id, 0::bigint, 0::bigint, 0::bigint from s
+  union all
+  select conv_id, e, chars + sys_chars + q[e + 1] - q[coalesce(list_min(list_filter(range(b, i + 1), lambda x: fixed + p[e + 1] - p[x + 1] <= 2048)), i) + 1], windows + 1
+  from (select *, greatest(least(i + 1, n), coalesce(list_max(list_filter(range(i + 1, n + 1), lambda x: fixed + p[x + 1] - p[b + 1] <= 2048)), 0))::bigint as e
+    from (select w.*, s.n, s.p, s.q, s.fixed, s.sys_chars, list_min(list_filter(range(0, w.i + 1), lambda x: s.p[w.i + 1] - s.p[x + 1] <= 512)) as b
+      from walk w join s using (conv_id) where w.i < s.n or w.windows = 0)))
+select s.conv_id, n_turns, turns_sha256, len(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, max(chars) as formatted_chars, max(windows) as n_windows
+from s join walk using (conv_id) group by all
+""",
     "op4_topk_search": r"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
