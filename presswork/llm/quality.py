@@ -24,7 +24,6 @@ from presswork.llm.common import WORD_GAP, let, materialise, words
 
 #: Characters that count as symbols (a fixed value).
 SYMBOLS = "#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_upper", "n_bars")
 
 
 def repeat_words(tokens: Column) -> Column:
@@ -92,23 +91,23 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("int")
+#: Each rule: when it votes good and when bad, as conditions that any SQL engine reads; all
+#: in exact whole numbers. A bad vote goes first; otherwise the rule abstains.
+RULES: dict[str, tuple[str, str]] = {
+    "mean_word": ("10 * word_chars >= 35 * n_words and word_chars <= 6 * n_words", "word_chars < 3 * n_words or 2 * word_chars > 15 * n_words"),
+    "symbols": ("100 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    "tables": ("100 * n_bars <= n_words", "20 * n_bars > n_words"),
+    "shouting": ("10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
+    "dup_lines": ("20 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    "repeats": ("5 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
+    "sentences": ("60 * n_stops >= n_words and 2 * n_stops <= n_words", "5 * n_stops > 4 * n_words or 300 * n_stops < n_words"),
+    "line_length": ("n_words >= 5 * n_lines and n_words <= 200 * n_lines", "n_words < 3 * n_lines or n_words > 1000 * n_lines"),
+}
 
 
 def rules() -> dict[str, Column]:
-    """Name of each rule and its vote, all in exact integer arithmetic."""
-    n, chars, sym, dup, rep, lines, stops, upper, bars = (F.col(c) for c in MEASURES)
-    return {
-        "mean_word": _vote((10 * chars >= 35 * n) & (chars <= 6 * n), (chars < 3 * n) | (2 * chars > 15 * n)),
-        "symbols": _vote(100 * sym <= n, 10 * sym > n),
-        "tables": _vote(100 * bars <= n, 20 * bars > n),
-        "shouting": _vote(10 * upper <= chars, 10 * upper > 3 * chars),
-        "dup_lines": _vote(20 * dup <= lines, 10 * dup > 3 * lines),
-        "repeats": _vote(5 * rep <= n, 10 * rep > 3 * n),
-        "sentences": _vote((60 * stops >= n) & (2 * stops <= n), (5 * stops > 4 * n) | (300 * stops < n)),
-        "line_length": _vote((n >= 5 * lines) & (n <= 200 * lines), (n < 3 * lines) | (n > 1000 * lines)),
-    }
+    """Name of each rule and its vote."""
+    return {k: F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0)).cast("int") for k, (good, bad) in RULES.items()}
 
 
 #: What a rule is expected to say about a document of either class before any is seen:

@@ -37,7 +37,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs, keep_text=False).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -81,7 +81,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
 }
 
+def _quality_sql() -> str:
+    """Measures, votes and a hundred rounds of estimation over the table of vote patterns."""
+    names = list(quality.RULES)
+    good, bad = (
+        "case x when 1 then {} when 0 then {} else {} end".format(*(f"{quality.EXPECTED[kind][x]}::double" for x in (1, 0, -1))) for kind in ("good", "bad")
+    )
+    votes = ", ".join(f"case when {b} then -1 when {g} then 1 else 0 end" for g, b in quality.RULES.values())
+    return rf"""
+with recursive t as (select doc_id, coalesce(text, '') as text from documents),
+w as (
+  select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
+g as (select doc_id, unnest(range(1, greatest(len(w) - 1, 1))) as i, w from w),
+g3 as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as c from g),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g3 where c > 1) group by 1),
+m as (
+  select w.doc_id, len(w)::bigint as n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars, (len(text) - len(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+    (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines, (len(text) - len(translate(text, '.!?', '')))::bigint as n_stops,
+    len(regexp_extract_all(text, '\p{{Lu}}'))::bigint as n_upper, (len(text) - len(translate(text, '|' || chr(9), '')))::bigint as n_bars
+  from w left join r using (doc_id)),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, [{votes}] as v from m),
+pat as (select v, count(*)::double as n from v where not base_failed group by 1),
+em(it, v, n, post) as (
+  select 0, v, n, case len(list_filter(v, lambda x: x < 0)) when 0 then 0.95::double when 1 then 0.2::double else 0.05::double end from pat
+  union all
+  select any_value(e.it) + 1, e.v, any_value(e.n), 1 / (1 + exp(-greatest(-500, least(500, any_value(ln(q.pi / (1 - q.pi))) + sum(ln(q.g / q.b))))))
+  from (select it, v, n, unnest(v) as x, unnest(range(len(v))) as j from em where it < 100) e
+  join (
+    select j, x, any_value((mass + 0.9 * pull) / (total + pull)) as pi, any_value((pull * ({good}) + gx) / (pull + mass)) as g, any_value((pull * ({bad}) + bx) / (pull + total - mass)) as b
+    from (
+      select j, x, sum(n * post) as gx, sum(n * (1 - post)) as bx, any_value(mass) as mass, any_value(total) as total, any_value(total) * {quality.EXPECTED_WEIGHT}::double as pull
+      from (select n, post, mass, total, unnest(v) as x, unnest(range(len(v))) as j from (select *, sum(n * post) over () as mass, sum(n) over () as total from em)) group by all)
+    group by all) q on e.j = q.j and e.x = q.x
+  group by e.v),
+p as (select v, post from em where it = 100)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(post, 0) >= 0.5 as kept from v left join p using (v)
+"""
+
+
 SQL: dict[str, str] = {
+    "op5_quality_rules": _quality_sql(),
+    "op1_minhash_dedup": r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from s group by 1),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where c / (x.n + y.n - c)::double >= 0.8::double),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select doc_id, min(other) as class_id from reach group by 1
+""",
     "op2_chat_formatting": r"""
 with recursive t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
