@@ -50,6 +50,8 @@ PIECE = 1 << 20
 HELD = 24 << 20
 #: Text bytes per bucket, and the most bits of the table of repeated hashes.
 BUCKET_BYTES, MOST_BITS, SEGMENTS = 48 << 20, 1 << 30, 32
+#: Spans that may be broadcast to the texts; with more, texts are shuffled to them.
+BROADCAST_SPANS = 1_000_000
 _U = np.uint64
 
 
@@ -478,6 +480,8 @@ def without_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> D
     """
     spans = repeated_spans(docs, length).groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("mark").alias("__mark"))
     spans = materialise(spans.agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans")
+    small = (spans.agg(F.sum(F.size("__spans"))).collect()[0][0] or 0) <= BROADCAST_SPANS
+    spans = F.broadcast(spans) if small else spans
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = [f for f in docs.schema.fields if f.name not in ("text", *_MADE)]
     names = [f.name for f in rest]

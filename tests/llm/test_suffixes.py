@@ -45,7 +45,7 @@ def test_pieces_and_flushes(spark, monkeypatch):
     rng = random.Random(3)
     block = prose(rng, 500)
     rows = [(1, prose(rng, 800) + block + prose(rng, 20)), (2, block[7:] + prose(rng, 900) + block[:1500]), (3, "q" * 2000)]
-    for name, value in (("PIECE", 1000), ("HELD", 5000), ("BUCKET_BYTES", 2000)):
+    for name, value in (("PIECE", 1000), ("HELD", 5000), ("BUCKET_BYTES", 2000), ("BROADCAST_SPANS", 0)):
         monkeypatch.setattr(suffixes, name, value)
     check(spark, rows, 100)
 
