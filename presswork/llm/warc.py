@@ -8,7 +8,9 @@ the records.
 Reading: members are taken one after the other and checked (gzip CRC, version line,
 Content-Length, payload digest). Where a check fails the reader looks for the next gzip
 magic or ``WARC/`` version line that begins a valid record, goes on there, and reports
-the bytes in between as a quarantined gap.
+the bytes in between as a quarantined gap. Inside a member that holds several records it
+looks for the next version line in the decompressed bytes, also in those that come out
+of a member before its damage.
 
 Defined cases: a null payload is the empty payload; of records with equal payloads the
 one with the largest id is the response and the others revisit it (null ids count as
@@ -20,6 +22,7 @@ records; other input columns play no part.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import re
@@ -100,13 +103,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     ).option("maxRecordsPerFile", 20_000).text(path)
 
 
-def _header(block: bytes) -> tuple[dict[str, str], int]:
-    """Header fields and where the body begins; ValueError if it is no record."""
-    end = block.find(b"\r\n\r\n")
-    if not block.startswith(VERSION) or end < 0:
+def _header(block: bytes, start: int = 0) -> tuple[dict[str, str], int]:
+    """Header fields of the record at ``start`` and where its body begins; ValueError if it is no record."""
+    end = block.find(b"\r\n\r\n", start) if block.startswith(VERSION, start) else -1
+    if end < 0:
         raise ValueError("no version line or header end")
     fields: dict[str, str] = {}
-    for line in block[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in block[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError("bad header line")
@@ -121,9 +124,9 @@ def _page(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def parse(block: bytes) -> tuple[dict, int]:
-    """The record that ``block`` begins with, checked, and its length in bytes."""
-    fields, at = _header(block)
+def parse(block: bytes, start: int = 0) -> tuple[dict, int]:
+    """The record of ``block`` at ``start``, checked, and its length in bytes."""
+    fields, at = _header(block, start)
     n = int(fields["content-length"])
     body, tail = block[at : at + n], block[at + n : at + n + 4]
     if len(body) != n or tail != b"\r\n\r\n":
@@ -135,7 +138,52 @@ def parse(block: bytes) -> tuple[dict, int]:
     return {
         "warc_type": kind, "page_id": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "payload_bytes": int(full) if full.isdigit() else n,
         "payload_digest": digest or None, "refers_to": _page(fields.get("warc-refers-to")), "payload": body,
-    }, at + n + 4
+    }, at + n + 4 - start
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` holds, its size, and "" or why it ended early.
+
+    Of a damaged member the size is 0 and the bytes are those before the damage.
+    """
+    z = zlib.decompressobj(31)
+    # Pieces, so that no copy of the rest of a large file is made per member.
+    plain, k, end = io.BytesIO(), at, len(data)
+    try:
+        while not z.eof and k < end:
+            plain.write(z.decompress(data[k : k + 65536]))
+            k += 65536
+    except zlib.error as e:
+        # Once more up to the failing piece, and that byte by byte.
+        z = zlib.decompressobj(31)
+        for i in range(at, k, 65536):
+            z.decompress(data[i : i + 65536])
+        with contextlib.suppress(zlib.error):
+            for i in range(k, min(k + 65536, end)):
+                plain.write(z.decompress(data[i : i + 1]))
+        return plain.getvalue(), 0, str(e)
+    if not z.eof:
+        return plain.getvalue(), 0, "member is cut off"
+    return plain.getvalue(), min(k, end) - len(z.unused_data) - at, ""
+
+
+def _parsed(block: bytes) -> Iterator[dict | str]:
+    """Records of decompressed bytes, and for each stretch that holds none why it is bad."""
+    inner, bad = 0, False
+    while inner < len(block):
+        try:
+            got, n = parse(block, inner)
+        except ValueError as e:
+            if not bad:
+                yield str(e)
+            bad = True
+            inner = block.find(VERSION, inner + 1)
+            if inner < 0:
+                return
+            continue
+        bad = False
+        yield got
+        inner += n
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -143,51 +191,49 @@ def salvage(data: bytes) -> Iterator[dict]:
 
     A record found after a failed check must pass every check itself. The bytes from
     the first failure to that record form one gap. An uncompressed record ends where
-    its length says; a member may hold several records, and those that pass before one
-    fails are kept.
+    its length says. A member may hold several records: each that passes is kept, also
+    from a member that is damaged or cut off, as far as it could be decompressed. A gap
+    inside an intact member has the member's offset and no bytes of its own; one at
+    the end of a damaged member goes from the member's offset to the next record.
     """
     at, bad, why, end = 0, -1, "", len(data)
     while at < end:
-        found: list[dict] = []
-        size = 0
-        try:
-            if data.startswith(MAGIC, at):
-                z = zlib.decompressobj(31)
-                # Pieces, so that no copy of the rest of a large file is made per member.
-                plain, k = io.BytesIO(), at
-                while not z.eof and k < end:
-                    plain.write(z.decompress(data[k : k + 65536]))
-                    k += 65536
-                if not z.eof:
-                    raise ValueError("member is cut off")
-                size = min(k, end) - len(z.unused_data) - at
-                block, inner = plain.getvalue(), 0
-                while inner < len(block):
-                    got, n = parse(block[inner:] if inner else block)
-                    found.append(got)
-                    inner += n
-            elif data.startswith(VERSION, at):
+        found: list[dict | str] = []
+        size, failed = 0, ""
+        if data.startswith(MAGIC, at):
+            block, size, failed = _inflated(data, at)
+            found = list(_parsed(block))
+        elif data.startswith(VERSION, at):
+            try:
                 head = data.find(b"\r\n\r\n", at)
                 n = int(_header(data[at : head + 4])[0]["content-length"]) if head >= 0 else 0
                 got, size = parse(data[at : head + 8 + n])
-                found.append(got)
-            else:
-                raise ValueError("neither a member nor a version line")
-        except (ValueError, zlib.error) as e:
-            if found and bad < 0:  # records of a member that passed before the failure
-                for got in found:
-                    yield got | {"at": at, "n_bytes": 0, "gap": None}
-            if bad < 0:
-                bad, why = at, str(e)
-            nexts = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(nexts, default=end)
-            continue
-        if bad >= 0 and (found or size == 20):
+                found = [got]
+            except ValueError as e:
+                failed = str(e)
+        else:
+            failed = "neither a member nor a version line"
+        whole = any(not isinstance(x, str) for x in found)
+        if failed and found and isinstance(found[-1], str):
+            found.pop()  # the record that the damage cut off is part of the gap of the member
+        if size and not whole and found:  # nothing in the member passed
+            failed, found, size = found[0], [], 0
+        if bad >= 0 and (whole or size == 20):
             yield {"at": bad, "n_bytes": at - bad, "gap": why}
             bad = -1
         for got in found:
-            yield got | {"at": at, "n_bytes": size, "gap": None}
-        at += size
+            if isinstance(got, str):
+                if whole:
+                    yield {"at": at, "n_bytes": 0, "gap": got}
+            else:
+                yield got | {"at": at, "n_bytes": size, "gap": None}
+        if not failed:
+            at += size
+            continue
+        if bad < 0:
+            bad, why = at, failed
+        nexts = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
+        at = min(nexts, default=end)
     if bad >= 0:
         yield {"at": bad, "n_bytes": end - bad, "gap": why}
 

@@ -82,3 +82,31 @@ def test_empty(spark):
     path = new_path(spark, "warc")
     warc.write_archive(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
     assert warc.read_archive(spark, path).where(F.col("gap").isNull()).collect() == []
+
+
+def test_salvage_inside_members():
+    """Of a member with several records, only the damaged ones are lost."""
+    rng = random.Random(8)
+    texts = [prose(rng, 3000).encode() for _ in range(6)]
+    made = [warc.record("response", k, None, p, digest(p), len(p), None) for k, p in enumerate(texts)]
+    after = warc.member(warc.record("response", 9, None, b"z", digest(b"z"), 1, None))
+
+    def seen(data):
+        return [r["gap"] and "gap" or r["page_id"] for r in warc.salvage(data)]
+
+    one = warc.member(b"".join(made))
+    assert seen(one + after) == [0, 1, 2, 3, 4, 5, 9]
+    digest_off = made[2].replace(texts[2][:9], b"#########")
+    length_off = made[3].replace(b"Content-Length: ", b"Content-Length: 9")
+    assert seen(warc.member(b"".join([*made[:2], digest_off, *made[3:]])) + after) == [0, 1, "gap", 3, 4, 5, 9]
+    assert seen(warc.member(b"".join([*made[:2], digest_off, length_off, *made[4:]])) + after) == [0, 1, "gap", 4, 5, 9]
+    assert seen(warc.member(b"junk" + b"".join(made))) == ["gap", 0, 1, 2, 3, 4, 5]
+    # Cut off, a bad checksum, and damage in the middle; each also behind junk.
+    cut, crc, hurt = one[: len(one) * 4 // 5], bytearray(one), bytearray(one)
+    crc[-8] ^= 1
+    hurt[len(one) // 2 : len(one) // 2 + 40] = bytes(40)
+    for junk, gap in ((b"", []), (b"some junk", ["gap"])):
+        assert seen(junk + cut) == [*gap, 0, 1, 2, 3, "gap"]
+        assert seen(junk + bytes(crc) + after) == [*gap, 0, 1, 2, 3, 4, 5, "gap", 9]
+        got = seen(junk + bytes(hurt) + after)
+        assert got[: len(gap) + 2] == [*gap, 0, 1] and got[-2:] == ["gap", 9]
