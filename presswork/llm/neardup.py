@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import bounded_batches, materialise
+from presswork.llm.common import bounded_batches, materialise, words
 from presswork.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 4
@@ -403,8 +403,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weighted: bool = Fa
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id."""
+    """``docs`` with one document of each class: the one with the smallest id.
+
+    Rows that repeat both id and words are one document, and one of them stays (the one
+    whose text is smallest); rows without an id all stay.
+    """
     found = near_duplicates(docs, threshold, weighted)
     gone = materialise(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
     hint = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
-    return docs.join(hint(gone), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(hint(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    n = again.count()
+    if not n:
+        return kept
+    # Only the texts of repeated ids are shuffled.
+    hint = F.broadcast if n <= BROADCAST_IDS else lambda x: x
+    once = kept.join(hint(again), "doc_id", "left_anti").select(*docs.columns)
+    key = F.sha2(F.array_join(words(F.col("text").cast("string")), " "), 256)
+    twice = kept.join(hint(again), "doc_id", "left_semi").select("doc_id", key.alias("key"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
+    folded = twice.groupBy("doc_id", "key").agg(F.min_by("row", F.coalesce("t", F.lit(""))).alias("row"))
+    return once.union(folded.select("row.*"))

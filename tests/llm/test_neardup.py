@@ -3,8 +3,9 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from presswork.llm import neardup
+from presswork.llm import neardup, suffixes
 from presswork.llm.components import components
 from tests.llm.helpers import ODD, prose, words
 
@@ -122,3 +123,24 @@ def test_components(spark):
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == want
+
+
+def test_repeated_rows_stay_once(spark):
+    """Row counts: a row that repeats id and words goes, rows of one id with other words stay."""
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a.replace(" ", "\n")), (2, b), (3, a), (3, a), (4, None), (4, ""), (5, b + " tail"), (6, c), (6, b[::-1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], " ".join(words(r["text"]))) for r in kept.collect())) == sorted([(1, a), (2, b), (4, ""), (6, c), (6, b[::-1])])
+    nulls = spark.createDataFrame([(None, a), (None, a), (7, c)], "doc_id bigint, text string")
+    assert neardup.deduplicated(nulls).count() == 3
+
+
+def test_repeated_document_survives_the_cuts(spark):
+    """What the near-dedup leaves of a repeated document of 400 bytes or more is not cut to nothing."""
+    t = prose(random.Random(14), 150)
+    df = spark.createDataFrame([(1, t), (1, t), (2, prose(random.Random(15), 150))], "doc_id bigint, text string")
+    out = suffixes.deduplicated(neardup.deduplicated(df), length=400).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 2] and {r["text"] for r in out if r["doc_id"] == 1} == {t}
