@@ -6,22 +6,29 @@ document or in the same one.
 *Sampled suffixes.* Every string of ``length`` bytes names one of its positions, its
 anchor: where the smallest hashed 16 bytes stand. The anchor depends on the string alone,
 so equal strings are anchored alike, and only suffixes at anchors need sorting (one in
-some 190 positions). An anchor owns a run of string starts; its suffix reaches to the
-right as far as they need, and what lies to its left is carried along.
+some 190 positions). An anchor owns a run of string starts.
 
 *Distinguishing prefixes.* A string reaches at least half its length to one side of its
-anchor. Hashes of both halves are counted first; suffixes whose halves occur once cannot
-repeat and are never exchanged. The hashes that do repeat are kept in a bit table of
-bounded size; a false hit costs work, not correctness.
-
-*Runs.* Each task sorts its suffixes, folds equal ones (which are repeats already) and
-writes front-coded runs per bucket of the leading 16 bytes. A bucket's runs meet in a
-loser tree that keeps the common prefix with the last output for every run and compares
-only behind it; it yields the sorted suffixes with their common prefixes.
-
-*Repeats.* Suffixes with 16 common bytes form a group. Two members share the string that
-begins p bytes left of their anchors if they agree on p bytes to the left and length - p
-to the right; both follow from the common prefixes of the two sorted orders.
+anchor. Hashes of both halves are counted by a partial aggregate, and a join keeps the
+anchors whose halves occur again; what occurs once is never exchanged. A hash that
+collides costs work, not correctness. Only the places of those anchors go on, and texts
+meet them in one join.
+
+*Runs.* An entry is a suffix that begins with a repeated half, read away from the anchor
+(to the right, or reversed to the left), with the bytes on the other side as payload. Each
+task sorts its entries, folds equal ones (which are repeats already) and writes
+front-coded runs per bucket of the half. A bucket's runs meet in a loser tree that keeps
+the common prefix with the last output for every run and compares only behind it; it
+yields the sorted entries with their common prefixes.
+
+*Repeats.* Entries with a common half form a group. Two of them share the string with q
+bytes on the first side if they agree on q bytes there and on length - q on the other;
+both follow from the common prefixes of the two sorted orders.
+
+*Hot groups.* Halves that occur more than ``HOT_ENTRIES`` times (a passage that very many
+documents share, in whatever surroundings) would fill one task. Their entries are folded
+in each task, and the strings of what is left are named by 128-bit digests and counted by
+a partial aggregate: one row per task and string, however many documents hold it.
 
 Defined cases: null text is empty; rows with equal id and text are two copies of a text,
 so all their strings repeat; invalid UTF-8 after a cut loses the broken characters in
@@ -33,53 +40,56 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import bounded_batches, materialise
+from presswork.llm.common import bounded_batches, giving_back, materialise, release
 from presswork.llm.neardup import _BYTES, _power, mix
 
 GRAM = 16
 PIECE = 1 << 20
-#: Bytes of suffixes that a task holds before it writes its runs.
-HELD = 24 << 20
-#: Text bytes per bucket, and the most bits of the table of repeated hashes.
-BUCKET_BYTES, MOST_BITS, SEGMENTS = 48 << 20, 1 << 30, 32
-#: Spans that may be broadcast to the texts; with more, texts are shuffled to them.
-BROADCAST_SPANS = 1_000_000
+#: Bytes of entries that a task holds before it writes its runs.
+HELD = 16 << 20
+#: Entries per bucket of the merge.
+BUCKET_ENTRIES = 20_000
+#: Half strings that occur more often than this take the way for hot groups.
+HOT_ENTRIES = 4096
+#: A place packs an anchor's offset, how far before it strings start (first, last), and flags.
+RIGHT, HOT, REACH = 1, 2, (1 << 15) - 1
 _U = np.uint64
 
 
-def pieces(ids: list, marks: list, column: pa.Array, length: int) -> Iterator[tuple[list, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, marks, base offsets, bytes, offsets) of about a megabyte of text at a time.
+def pieces(keys: list, column: pa.Array, length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, base offsets, bytes, offsets) of about a megabyte of text at a time.
 
     A longer text comes in pieces that overlap by length - 1, so that every string lies
     in one piece.
     """
-    group: tuple[list, list, list, list] = ([], [], [], [])
+    group: tuple[list, list, list] = ([], [], [])
     held = 0
 
     def out():
-        lengths = [len(x) for x in group[3]]
-        return group[0], group[1], np.array(group[2], np.int64), np.frombuffer(b"".join(group[3]), np.uint8), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        lengths = [len(x) for x in group[2]]
+        return group[0], np.array(group[1], np.int64), np.frombuffer(b"".join(group[2]), np.uint8), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
-    for i, m, x in zip(ids, marks, column, strict=True):
+    for key, x in zip(keys, column, strict=True):
         b = x.as_py() if x.is_valid else b""
         for at in range(0, max(1, len(b) - length + 1), PIECE):
             part = b[at : at + PIECE + length - 1]
             if len(part) < length:
                 continue
-            for have, new in zip(group, (i, m, at, part), strict=True):
+            for have, new in zip(group, (key, at, part), strict=True):
                 have.append(new)
             held += len(part)
             if held >= PIECE:
                 yield out()
-                group, held = ([], [], [], []), 0
+                group, held = ([], [], []), 0
     if group[0]:
         yield out()
 
@@ -130,36 +140,30 @@ class Anchors:
         return left, to_left, right, to_right
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(id, mark, text as bytes): the mark tells rows of one id with different texts apart."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, check, text as bytes): key and check name a row's id and text in 96 bits."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(t).alias("mark"), t.cast("binary").alias("text"))
-
+    return docs.select(*row_key(F.col("doc_id").cast("bigint"), t), t.cast("binary").alias("text"))
 
-def _hashes(length: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, _, data, offsets in pieces(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text"), length):
-                _, x, _, y = Anchors(data, offsets, length).halves()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y]).view(np.int64), pa.int64())], ["h"])
 
-    return of
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(doc_id, text).alias("key"), F.hash(doc_id, text).alias("check")
 
 
-def _bits(bits: int):
-    """Hashes of one segment to its part of the bit table."""
-    part = bits // SEGMENTS
+def _anchored(length: int):
+    """Hashes of the halves of all anchors: (h, key, place)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
         for b in batches:
-            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64) % _U(bits)
-            for s in np.unique(h // _U(part)).tolist():
-                t = tables.setdefault(s, np.zeros(part // 8, np.uint8))
-                k = (h[h // _U(part) == s] % _U(part)).astype(np.int64)
-                np.bitwise_or.at(t, k >> 3, (1 << (k & 7)).astype(np.uint8))
-        if tables:
-            yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["segment", "bits"])
+            for keys, base, data, offsets in pieces(b.column("key").to_pylist(), b.column("text"), length):
+                a = Anchors(data, offsets, length)
+                left, x, right, y = a.halves()
+                own, at = np.array(keys, np.int64)[a.piece], a.at - offsets[a.piece] + base[a.piece]
+                place = at << 33 | (a.at - a.low) << 18 | (a.at - a.high) << 3
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([x, y]).view(np.int64)), pa.array(np.concatenate([own[left], own[right]])), pa.array(np.concatenate([place[left], place[right] | RIGHT]))],
+                    ["h", "key", "place"],
+                )
 
     return of
 
@@ -260,180 +264,213 @@ def merged(runs: list) -> Iterator[tuple[bytes, int, tuple]]:
             node //= 2
 
 
-_RUN = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-RUN = "bucket int, run binary, doc_id long, mark long, start long, end long"
+_RUN = pa.schema([
+    ("bucket", pa.int64()), ("run", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("key", pa.int64()), ("check", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
+])
+RUN = "bucket long, run binary, s1 long, s2 long, key long, check int, start long, end long"
+
 
+def _rows(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _RUN], schema=_RUN)
 
-def _runs(length: int, buckets: int, table):
-    """Front-coded runs per bucket, and the spans of suffixes that repeat within the task."""
+
+def _runs(length: int, buckets: int):
+    """Front-coded runs per bucket, spans that repeat within the task, strings of hot groups."""
+    half = (length - GRAM) // 2
+    need = (half + GRAM, length - half)
+
+    def spans(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield _rows(**dict(zip(("key", "check", "start", "end"), zip(*found, strict=True), strict=True)))
 
     def written(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
         for bucket, entries in held.items():
-            entries.sort(key=lambda e: (e[0], e[1]))
-            kept, spans, k = [], [], 0
+            entries.sort(key=lambda e: e[:2])
+            kept, found, k = [], [], 0
             while k < len(entries):
                 j = k + 1
                 while j < len(entries) and entries[j][:2] == entries[k][:2]:
                     j += 1
                 kept.append((*entries[k], j > k + 1))
                 if j > k + 1:
-                    spans += [(e[2], e[3], e[4] - len(e[1]), e[4] + len(e[0])) for e in entries[k:j]]
+                    found += [(e[2], e[3], *_span(bucket & 1, e[4], len(e[0]), length - len(e[1]), length)) for e in entries[k:j]]
                 k = j
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "run": front_coded(kept)}], _RUN)
-            if spans:
-                i, m, s, e = zip(*spans, strict=True)
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([None if x == _NULL else x for x in i], pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())],
-                    schema=_RUN,
-                )
+            yield _rows(bucket=[bucket], run=[front_coded(kept)])
+            yield from spans(found)
+
+    def spelled(hot: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+        """A string of several owners repeats; one of them stands for it elsewhere too."""
+        found = [(k, c, s, s + length) for owners in hot.values() if len(owners) > 1 for k, c, s in owners]
+        yield from spans(found)
+        if hot:
+            names = np.frombuffer(b"".join(hot), np.int64).reshape(-1, 2)
+            key, check, start = zip(*(owners[0] for owners in hot.values()), strict=True)
+            yield _rows(s1=names[:, 0], s2=names[:, 1], key=key, check=check, start=start, end=[x + length for x in start])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, n_bits = table.value
         held: dict[int, list] = {}
-        size = 0
-
-        def repeated(h: np.ndarray) -> np.ndarray:
-            k = (h % _U(n_bits)).astype(np.int64)
-            return (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 > 0
-
+        hot: dict[bytes, list] = {}
+        seen: dict[tuple, list] = {}
+        size = strings = 0
         for b in batches:
-            for ids, marks, base, data, offsets in pieces(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text"), length):
-                a = Anchors(data, offsets, length)
-                left, x, right, y = a.halves()
-                picked = np.zeros(len(a.at), bool)
-                picked[left[repeated(x)]] = True
-                picked[right[repeated(y)]] = True
-                k = np.flatnonzero(picked)
-                raw = data.tobytes()
-                bucket = (a.gram[k] % _U(buckets)).tolist()
-                where = a.at[k] - offsets[a.piece[k]] + base[a.piece[k]]
-                for c, at, lo, hi, p, w in zip(bucket, a.at[k].tolist(), a.low[k].tolist(), a.high[k].tolist(), a.piece[k].tolist(), where.tolist(), strict=True):
-                    i = ids[p]
-                    held.setdefault(c, []).append((raw[at : hi + length], raw[lo:at][::-1], _NULL if i is None else i, marks[p], w))
-                size += int((a.high[k] + length - a.low[k]).sum())
-                if size >= HELD:
+            for key, check, text, places in zip(b.column("key").to_pylist(), b.column("check").to_pylist(), b.column("text"), b.column("places"), strict=True):
+                raw = text.as_py()
+                for place in places.values.to_pylist():
+                    at, low, high, side = place >> 33, place >> 18 & REACH, place >> 3 & REACH, place & RIGHT
+                    low, high = at - low, at - high
+                    if side:
+                        low = max(low, at - half + 1)
+                        first, second = raw[at : high + length], raw[low:at][::-1]
+                    else:
+                        high = min(high, at - half)
+                        first, second = raw[low : at + GRAM][::-1], raw[at + GRAM : high + length]
+                    if place & HOT:
+                        owners = seen.setdefault((side, first, second), [])
+                        owners.append((key, check, low))
+                        if len(owners) == 1:  # equal ones share their strings
+                            for s in range(low, high + 1):
+                                name = hashlib.blake2b(raw[s : s + length], digest_size=16).digest()
+                                hot.setdefault(name, []).append((key, check, s))
+                            strings += high + 1 - low
+                    else:
+                        held.setdefault(zlib.crc32(first[: need[side]]) % buckets * 2 + side, []).append((first, second, key, check, at))
+                    size += len(first) + len(second)
+                if size >= HELD or strings >= HELD >> 7:
                     yield from written(held)
-                    held, size = {}, 0
+                    yield from spans([(k, c, s, s + len(x[1]) + len(x[2])) for x, owners in seen.items() if len(owners) > 1 for k, c, s in owners])
+                    yield from spelled(hot)
+                    held, hot, seen, size, strings = {}, {}, {}, 0, 0
         yield from written(held)
+        yield from spans([(k, c, s, s + len(x[1]) + len(x[2])) for x, owners in seen.items() if len(owners) > 1 for k, c, s in owners])
+        yield from spelled(hot)
 
     return of
 
 
-#: Stands for a null id inside runs.
-_NULL = -(1 << 63)
+def _span(side: int, at: int, most: int, least: int, length: int) -> tuple[int, int]:
+    """What the strings with ``least`` to ``most`` bytes on the first side of their anchor cover."""
+    if side:
+        return at - (length - least), at + most
+    return at + GRAM - most, at + GRAM + length - least
 
 
-def group_spans(group: list[tuple[bytes, int, tuple]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, mark, start, end) of what repeats among suffixes with a common beginning.
+def group_spans(group: list[tuple[bytes, int, tuple]], length: int, side: int) -> Iterator[tuple[int, int, int, int]]:
+    """(key, check, start, end) of what repeats among entries of one half.
 
-    ``group`` is in sorted order, each with its common prefix with the one before. What
-    covers an anchor is one span, so its ends are the largest and the smallest p at which
-    another member agrees; these lie among the common prefixes themselves.
+    ``group`` is in sorted order, each with its common prefix with the one before. Two
+    entries share the string with q bytes on the first side if they agree on q bytes
+    there and on length - q on the other. What covers an anchor is one span, so it is
+    given by the smallest and the largest q at which another entry agrees; these lie
+    among the common prefixes themselves.
     """
     n = len(group)
     if n == 1:
         return
+    half = (length - GRAM) // 2
+    need = length - half + 1 if side else half + GRAM
     if n == 2:
-        r, x, y = group[1][1], group[0][2], group[1][2]
-        p = common(x[0], y[0])
-        if p + r >= length:
-            for _, i, m, at, folded in (x, y):
+        most, x, y = group[1][1], group[0][2], group[1][2]
+        least = max(need, length - common(x[0], y[0]))
+        if least <= most:
+            for _, key, check, at, folded in (x, y):
                 if not folded:
-                    yield i, m, at - p, at + r
+                    yield key, check, *_span(side, at, most, least, length)
         return
-    right = np.array([g[1] for g in group], np.int64)
-    lefts = [g[2][0] for g in group]
-    order = sorted(range(n), key=lefts.__getitem__)
-    left = np.array([0] + [common(lefts[a], lefts[b]) for a, b in zip(order, order[1:], strict=False)], np.int64)
-    ps = np.unique(np.concatenate([left[1:], length - right[1:]]))
-    ps = ps[(ps >= 0) & (ps <= length - GRAM)]
-    low, high = np.full(n, length + 1), np.full(n, -1)
+    first = np.array([0] + [g[1] for g in group[1:]], np.int64)
+    others = [g[2][0] for g in group]
+    order = sorted(range(n), key=others.__getitem__)
+    second = np.array([0] + [common(others[a], others[b]) for a, b in zip(order, order[1:], strict=False)], np.int64)
+    qs = np.unique(np.concatenate([first[1:], length - second[1:], [need]]))
+    qs = qs[(qs >= need) & (qs <= length)]
+    least, most = np.full(n, length + 1), np.full(n, -1)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    step = max(1, (1 << 21) // n)
-    for k in range(0, len(ps), step):
-        p = ps[k : k + step, None]
-        by_left = np.cumsum(left[None, :] < p, axis=1)[:, place]
-        by_right = np.cumsum(right[None, :] < length - p, axis=1)
-        key = by_left * (n + 1) + by_right
-        at = np.argsort(key, axis=1, kind="stable")
-        key = np.take_along_axis(key, at, 1)
-        equal = key[:, 1:] == key[:, :-1]
-        same = np.zeros(key.shape, bool)
+    step = max(1, (1 << 19) // n)
+    for k in range(0, len(qs), step):
+        q = qs[k : k + step, None]
+        by_first = np.cumsum(first[None, :] < q, axis=1)
+        by_second = np.cumsum(second[None, :] < length - q, axis=1)[:, place]
+        name = by_first * (n + 1) + by_second
+        at = np.argsort(name, axis=1, kind="stable")
+        name = np.take_along_axis(name, at, 1)
+        equal = name[:, 1:] == name[:, :-1]
+        same = np.zeros(name.shape, bool)
         same[:, 1:] |= equal
         same[:, :-1] |= equal
         row, col = np.nonzero(same)
-        who, value = at[row, col], p[row, 0]
-        np.minimum.at(low, who, value)
-        np.maximum.at(high, who, value)
-    for k in np.flatnonzero(high >= 0).tolist():
-        _, i, m, at, folded = group[k][2]
+        who, value = at[row, col], q[row, 0]
+        np.minimum.at(least, who, value)
+        np.maximum.at(most, who, value)
+    for k in np.flatnonzero(most >= 0).tolist():
+        _, key, check, at, folded = group[k][2]
         if not folded:
-            yield i, m, at - int(high[k]), at + length - int(low[k])
+            yield key, check, *_span(side, at, int(most[k]), int(least[k]), length)
 
 
 def _merge(length: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bucket(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            out: list[tuple] = []
-            group: list = []
-            for entry in merged([read_run(r) for r in runs]):
-                if group and entry[1] < GRAM:
-                    out += group_spans(group, length)
-                    group = []
-                group.append(entry)
+    half = (length - GRAM) // 2
+    need = (half + GRAM, length - half)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "check", "start", "end"])
+
+    def merge(bucket: int, runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        side = bucket & 1
+        out: list[tuple] = []
+        group: list = []
+        for entry in merged([read_run(r) for r in runs]):
+            if group and entry[1] < need[side]:
+                out += group_spans(group, length, side)
+                group = []
                 if len(out) >= 20_000:
                     yield batch(out)
                     out = []
-            out += group_spans(group, length) if group else []
-            yield batch(out)
-
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            i, m, s, e = zip(*out, strict=True) if out else ((), (), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None if x == _NULL else x for x in i], pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc_id", "mark", "start", "end"]
-            )
+            group.append(entry)
+        out += group_spans(group, length, side) if group else []
+        yield batch(out)
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for b in batches:
             for k, run in zip(b.column("bucket").to_pylist(), b.column("run").to_pylist(), strict=True):
                 if key is not None and k != key:
-                    yield from bucket(held)
+                    yield from merge(key, held)
                     held = []
                 key = k
                 held.append(run)
         if held:
-            yield from bucket(held)
+            yield from merge(key, held)
 
     return of
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, mark, start, end): byte spans to remove; spans of a text may overlap."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = _texts(docs).where(F.octet_length("text") >= length)
-    counted = texts.mapInArrow(_hashes(length), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    counted = materialise(counted, "halves")
-    n = counted.count()
-    bits = 1 << 20
-    while bits < min(MOST_BITS, 12 * n):
-        bits *= 2
-    part_bits = (bits // SEGMENTS).bit_length() - 1
-    segment = F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), part_bits)  # a task fills whole segments
-    parts = counted.withColumn("s", segment).repartition(SEGMENTS, "s").select("h").mapInArrow(_bits(bits), "segment int, bits binary").collect()
-    table = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        at = r["segment"] * (bits // 8 // SEGMENTS)
-        table[at : at + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).collect()[0][0] or 0
-    buckets = max(8, size // BUCKET_BYTES * 4)
-    shared = spark.sparkContext.broadcast((table, bits))
-    runs = materialise(texts.mapInArrow(_runs(length, buckets, shared), RUN), "runs")
-    met = runs.where("bucket is not null").select("bucket", "run").repartition("bucket").sortWithinPartitions("bucket")
-    found = met.mapInArrow(_merge(length), "doc_id long, mark long, start long, end long")
-    return found.union(runs.where("bucket is null").select("doc_id", "mark", "start", "end"))
+    """(key, check, spans): byte spans to remove by ``row_key``; spans of a text may overlap."""
+    if not 2 * GRAM <= length < 1 << 15:
+        raise ValueError("length must be from 32 to 32767")
+    bounded_batches(docs.sparkSession)
+    texts = _keyed(docs).where(F.octet_length("text") >= length)
+    anchors = materialise(texts.select("key", "text").mapInArrow(giving_back(_anchored(length)), "h long, key long, place long"), "anchors")
+    counted = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.col("place").bitwiseOR(F.when(F.col("n") > HOT_ENTRIES, F.lit(HOT)).otherwise(F.lit(0)).cast("bigint"))
+    met = anchors.hint("merge").join(counted, "h").groupBy("key").agg(F.collect_set(place).alias("places"))
+    places = materialise(met, "places")
+    entries = places.agg(F.sum(F.size("places"))).collect()[0][0] or 0
+    buckets = max(4, entries // BUCKET_ENTRIES)
+    held = texts.hint("merge").join(places, "key").select("key", "check", "text", "places")
+    runs = materialise(held.mapInArrow(giving_back(_runs(length, buckets)), RUN), "runs")
+    dealt = runs.where("bucket is not null").select("bucket", "run").repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(giving_back(_merge(length)), "key long, check int, start long, end long")
+    strings = runs.where("s1 is not null")
+    again = strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
+    found = found.union(strings.hint("merge").join(again, ["s1", "s2"]).select("key", "check", "start", "end"))
+    found = found.union(runs.where("bucket is null and s1 is null").select("key", "check", "start", "end"))
+    spans = materialise(found.groupBy("key", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    release(anchors, places, runs)
+    return spans
 
 
 _MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
@@ -478,17 +515,15 @@ def without_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> D
     ``text`` adds what is left as kept_text. Computed columns replace input columns of the
     same name.
     """
-    spans = repeated_spans(docs, length).groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("mark").alias("__mark"))
-    spans = materialise(spans.agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans")
-    small = (spans.agg(F.sum(F.size("__spans"))).collect()[0][0] or 0) <= BROADCAST_SPANS
-    spans = F.broadcast(spans) if small else spans
+    spans = repeated_spans(docs, length).select(F.col("key").alias("__key"), F.col("check").alias("__check"), F.col("spans").alias("__spans"))
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = [f for f in docs.schema.fields if f.name not in ("text", *_MADE)]
     names = [f.name for f in rest]
-    marked = docs.select(*(docs[f"`{c}`"] for c in names), t.cast("binary").alias("__text"), F.xxhash64(t).alias("__of"))
-    here = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)) == F.col("__id")) & (F.col("__of") == F.col("__mark"))
-    joined = marked.join(spans, here, "left").select(*(f"`{c}`" for c in names), "__text", "__spans")
-    return joined.mapInArrow(_united(names, text), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), MADE]))
+    key, check = row_key(F.col("doc_id").cast("bigint"), t)
+    marked = docs.select(*(docs[f"`{c}`"] for c in names), t.cast("binary").alias("__text"), key.alias("__key"), check.alias("__check"))
+    # One plan at every size: the texts are shuffled once, whatever the number of spans.
+    joined = marked.hint("merge").join(spans, ["__key", "__check"], "left").select(*(f"`{c}`" for c in names), "__text", "__spans")
+    return joined.mapInArrow(giving_back(_united(names, text)), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), MADE]))
 
 
 def deduplicated(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,11 +46,24 @@ def test_pieces_and_flushes(spark, monkeypatch):
     rng = random.Random(3)
     block = prose(rng, 500)
     rows = [(1, prose(rng, 800) + block + prose(rng, 20)), (2, block[7:] + prose(rng, 900) + block[:1500]), (3, "q" * 2000)]
-    for name, value in (("PIECE", 1000), ("HELD", 5000), ("BUCKET_BYTES", 2000), ("BROADCAST_SPANS", 0)):
+    for name, value in (("PIECE", 1000), ("HELD", 5000), ("BUCKET_ENTRIES", 3)):
         monkeypatch.setattr(suffixes, name, value)
     check(spark, rows, 100)
 
 
+@pytest.mark.parametrize("held", [3000, 1 << 20])
+def test_hot_groups(spark, monkeypatch, held):
+    """Passages in many surroundings and copies beyond the bound of a group, in one flush and in many."""
+    rng = random.Random(4)
+    passage, copy = prose(rng, 60), prose(rng, 50)
+    rows = [(k, prose(rng, rng.randrange(0, 30)) + passage[rng.choice([0, 0, 3, 90]) :] + prose(rng, rng.randrange(0, 30))) for k in range(40)] + [(100 + k, copy) for k in range(12)]
+    rows += [(k, None) for k in (200, 201)] + [(300, copy[1:])]
+    for name, value in (("HELD", held), ("HOT_ENTRIES", 4), ("BUCKET_ENTRIES", 3)):
+        monkeypatch.setattr(suffixes, name, value)
+    check(spark, rows, 80)
+    check(spark, rows, 81)
+
+
 def test_text_and_empty(spark):
     rows = [(1, "start " + "long repeated passage " * 5 + "end"), (2, "long repeated passage " * 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
