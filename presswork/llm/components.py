@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import materialise
+from presswork.llm.common import materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,7 +26,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): its component's smallest node.
 
-    Each round is written to the shared folder; the rounds end when the edges repeat.
+    Each round is written to the shared folder, and the round before is deleted; the
+    rounds end when the edges repeat. The result is a written table.
+
+    Defined cases: links of a node with itself and repeated links count for nothing, and a
+    node with no other link is not in the result; links with a null end are left out; an
+    empty table gives an empty result.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
@@ -35,10 +40,13 @@ def components(links: DataFrame) -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialise(_star(_star(edges, True), False), "edges")
+        release(before)
         now = mark(edges)
         if now == seen:
             break
         seen = now
     roots = edges.select(F.col("b").alias("a"), "b")
-    return edges.union(roots).distinct().select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out = materialise(edges.union(roots).distinct().select(F.col("a").alias("node"), F.col("b").alias("label")), "components")
+    release(edges)
+    return out

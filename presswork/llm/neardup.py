@@ -10,20 +10,21 @@ weighted Jaccard similarity.
 
 Equal word sequences are first folded into one representative. Representatives that
 agree on a whole band meet in a bucket. Each bucket's most connected member is its
-centre, and the others are compared with it. Groups that then still meet in a bucket form
-a family; members of different groups of a family are compared block by block. What is
-compared is first estimated on
-the signatures (one that differs from 0.8 by more than six standard deviations is set
-aside) and then counted exactly on the shingles. Links join into classes by distributed
-star rounds.
+centre, and the others are compared with it. Where members of different groups then still
+meet in a bucket, they are compared inside it, pairs of blocks at a time, each pair in the
+first bucket that it shares. What is compared is first estimated on the signatures (one
+that differs from 0.8 by more than six standard deviations is set aside) and then counted
+exactly on the shingles; only members with an open estimate send theirs. Links join into
+classes by distributed star rounds.
 
 With 25 bands of 4, a pair at the threshold is missed with a probability of 2e-6, and one
 of similarity 0.85 with one of 1e-8.
 
 Defined cases: documents without words (null, empty or blank text) are classes of their
 own; a document's class is the smallest id in it; rows with the same id and words are
-one document; rows without an id are left out; an empty table gives an empty result;
-other input columns play no part.
+one document, and rows of one id with other words are documents of their own; rows
+without an id take no part and have no class (null); an empty table gives an empty
+result; other input columns play no part.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import bounded_batches, materialise, words
+from presswork.llm.common import bounded_batches, giving_back, materialise, release
 from presswork.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 4
 K = BANDS * ROWS
-#: Members of a family that are compared in one group.
-BLOCK = 4096
+#: Members of a bucket that are compared in one group.
+BLOCK = 2048
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 SLICE = 1 << 20
@@ -167,8 +168,8 @@ def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
     return out
 
 
-SKETCH = "doc_id long, key binary, n int, sig binary, bands array<long>"
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH = "doc_id long, mark long, key binary, n int, sig binary, bands array<long>"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -202,7 +203,8 @@ def _sketched(weighted: bool):
                 has = n > 0
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int32()), pa.array(band[has].ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in low], pa.binary()), bands], schema=_SKETCH
+                    [b.column("doc_id").slice(i, j - i), b.column("mark").slice(i, j - i), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in low], pa.binary()), bands],
+                    schema=_SKETCH,
                 )
 
     return of
@@ -215,7 +217,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))])
             raw = np.rec.fromarrays([h, times.astype(np.uint32)], dtype=[("h", "<u8"), ("n", "<u4")])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(i, j - i), pa.array([raw[cut[r] : cut[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["rep", "shingles"]
+                [b.column("rep").slice(i, j - i), pa.array([raw[cut[r] : cut[r + 1]].tobytes() for r in range(j - i)], pa.binary())], ["rep", "shingles"]
             )
 
 
@@ -256,170 +258,225 @@ def _close(threshold: float):
     return of
 
 
-def family_links(own: np.ndarray, reps: np.ndarray, labels: np.ndarray, sigs: np.ndarray, sets: list[bytes], threshold: float, weighted: bool) -> Iterator[tuple[int, int]]:
-    """Links between members with different labels (and of different blocks, if there are two).
+class Bucket:
+    """Members of one bucket (or of two of its blocks): those of the largest label first."""
+
+    def __init__(self, band: int, own: list, reps: list, labels: list, sizes: list, sigs: list, bands: np.ndarray, threshold: float, weighted: bool):
+        _, label, count = np.unique(np.array(labels, np.int64), return_inverse=True, return_counts=True)
+        rank = np.argsort(np.argsort(-count, kind="stable"), kind="stable")[label]
+        by = self.by = np.argsort(rank, kind="stable")
+        self.label = rank[by]
+        self.own, self.reps, self.n = (np.array(x, np.int64)[by] for x in (own, reps, sizes))
+        self.sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, K)[by]
+        self.bands = bands.reshape(-1, BANDS)[by]
+        self.at = int((self.bands[0] == band).argmax())
+        self.two = len(np.unique(self.own)) > 1
+        self.threshold, self.weighted, self.least = threshold, weighted, _least(threshold)
+        #: Labels that a link has joined are not compared again.
+        self.root = np.arange(len(count))
+
+    def open(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, earlier members) of different labels and blocks that the estimate leaves open, where this is the first bucket of both."""
+        for i in range(int(np.searchsorted(self.label, 1)), len(self.reps)):
+            ok = self.root[self.label[:i]] != self.root[self.label[i]]
+            if self.two:
+                ok &= self.own[:i] != self.own[i]
+            if not self.weighted:
+                ok &= np.minimum(self.n[:i], self.n[i]) >= self.threshold * np.maximum(self.n[:i], self.n[i])
+            ok = np.flatnonzero(ok)
+            for k in range(0, len(ok), 4096):
+                part = ok[k : k + 4096]
+                part = part[(self.sigs[part] == self.sigs[i]).sum(1) >= self.least]
+                part = part[(self.bands[part] == self.bands[i]).argmax(1) == self.at]
+                if len(part):
+                    yield i, part
+
+    def links(self, sets: list[bytes]) -> Iterator[tuple[int, int]]:
+        kind = np.dtype([("h", "<u8"), ("n", "<u4")])
+        rows = [np.frombuffer(sets[k], kind) for k in self.by.tolist()]
+        weight = np.array([len(r) for r in rows], np.int64)
+        hashes = [np.ascontiguousarray(r["h"]) for r in rows]
+        for i, found in self.open():
+            for k in range(0, len(found), 256):
+                part = found[k : k + 256]
+                part = part[self.root[self.label[part]] != self.root[self.label[i]]]
+                if not len(part):
+                    continue
+                if self.weighted:
+                    score = np.array([similarity(rows[j].tobytes(), rows[i].tobytes(), True) for j in part.tolist()])
+                else:
+                    every = np.concatenate([hashes[j] for j in part.tolist()])
+                    ends = np.cumsum(weight[part])
+                    at = np.minimum(np.searchsorted(hashes[i], every), len(hashes[i]) - 1)
+                    hit = np.concatenate([[0], np.cumsum(hashes[i][at] == every)])
+                    both = hit[ends] - hit[ends - weight[part]]
+                    score = both / (weight[part] + weight[i] - both)
+                for j in part[score >= self.threshold].tolist():
+                    x, y = self.root[self.label[i]], self.root[self.label[j]]
+                    if x != y:
+                        yield int(self.reps[i]), int(self.reps[j])
+                        self.root[self.root == y] = x
+
+
+def _between(threshold: float, weighted: bool, exact: bool):
+    """Over groups (band, p, q): the members with an open estimate, or the links among members with shingles."""
+
+    def done(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        own, reps, labels, sizes, sigs, bands, *sets = zip(*held, strict=True)
+        bucket = Bucket(key[0], own, reps, labels, sizes, sigs, np.concatenate(bands), threshold, weighted)
+        if exact:
+            found = list(bucket.links(sets[0]))
+        else:
+            active = np.zeros(len(reps), bool)
+            for i, part in bucket.open():
+                active[i] = active[part] = True
+            found = [(key[0], r) for r in bucket.reps[active].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    Labels that a link has joined are not compared again.
-    """
-    names, label, sizes = np.unique(labels, return_inverse=True, return_counts=True)
-    order = np.argsort(np.argsort(-sizes, kind="stable"), kind="stable")[label]
-    by = np.argsort(order, kind="stable")
-    own, reps, label, sigs, order = own[by], reps[by], label[by], sigs[by], order[by]
-    kind = np.dtype([("h", "<u8"), ("n", "<u4")])
-    rows = [np.frombuffer(sets[k], kind) for k in by.tolist()]
-    weight = np.array([int(r["n"].sum()) if weighted else len(r) for r in rows], np.int64)
-    hashes = [np.ascontiguousarray(r["h"]) for r in rows]
-    root = np.arange(len(names))
-    two = len(np.unique(own)) > 1
-    least = _least(threshold)
-    for i in range(int(np.searchsorted(order, 1)), len(reps)):
-        ok = (root[label[:i]] != root[label[i]]) & (np.minimum(weight[:i], weight[i]) >= threshold * np.maximum(weight[:i], weight[i]))
-        if two:
-            ok &= own[:i] != own[i]
-        ok = np.flatnonzero(ok)
-        ok = ok[(sigs[ok] == sigs[i]).sum(1) >= least]
-        for k in range(0, len(ok), 256):
-            part = ok[k : k + 256]
-            part = part[root[label[part]] != root[label[i]]]
-            if not len(part):
-                continue
-            if weighted:
-                score = np.array([similarity(rows[j].tobytes(), rows[i].tobytes(), True) for j in part.tolist()])
-            else:
-                every = np.concatenate([hashes[j] for j in part.tolist()])
-                ends = np.cumsum(weight[part])
-                at = np.minimum(np.searchsorted(hashes[i], every), len(hashes[i]) - 1)
-                hit = np.concatenate([[0], np.cumsum(hashes[i][at] == every)])
-                both = hit[ends] - hit[ends - weight[part]]
-                score = both / (weight[part] + weight[i] - both)
-            for j in part[score >= threshold].tolist():
-                if root[label[j]] != root[label[i]]:
-                    yield int(reps[i]), int(reps[j])
-                    root[root == root[label[j]]] = root[label[i]]
-
-
-def _between(threshold: float, weighted: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> pa.RecordBatch:
-            own, reps, labels, sigs, sets = zip(*held, strict=True)
-            found = list(family_links(np.array(own), np.array(reps), np.array(labels), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, K), list(sets), threshold, weighted))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
         key, held = None, []
+        names = ["own", "rep", "label", "n", "sig"]
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("family", "p", "q", "own", "rep", "label", "sig", "shingles")), strict=True):
-                if held and row[:3] != key:
-                    yield done()
+            bands = b.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+            columns = [b.column(c).to_pylist() for c in names] + [list(bands)] + ([b.column("shingles").to_pylist()] if exact else [])
+            for at, row in zip(zip(*(b.column(c).to_pylist() for c in ("band", "p", "q")), strict=True), zip(*columns, strict=True), strict=True):
+                if held and at != key:
+                    yield done(key, held)
                     held = []
-                key = row[:3]
-                held.append(row[3:])
+                key = at
+                held.append(row)
         if held:
-            yield done()
+            yield done(key, held)
 
-    return of
+    return giving_back(of)
 
 
 class Verifier:
-    """Exact comparison of pairs of representatives, in two joins."""
+    """Exact comparison of representatives, in two joins."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, threshold: float, weighted: bool):
         self.docs, self.reps, self.threshold, self.weighted = docs, reps, threshold, weighted
+        self.scratch: list[DataFrame] = []
+
+    def _written(self, df: DataFrame, label: str) -> DataFrame:
+        self.scratch.append(materialise(df, label))
+        return self.scratch[-1]
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, x, y with signatures) that the estimate does not rule out."""
         return pairs.mapInArrow(_close(self.threshold), "a long, b long").distinct()
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
-        """(rep, shingles) of the wanted ids."""
-        wanted = materialise(wanted, "wanted")
+        """(rep, shingles) of the wanted representatives."""
+        wanted = self._written(wanted.join(self.reps.select("rep", "doc_id", "mark"), "rep"), "wanted")
         hint = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda x: x
-        texts = self.docs.join(hint(wanted), "doc_id", "left_semi").select("doc_id", "text")
-        return materialise(texts.mapInArrow(_sets, "rep long, shingles binary"), "sets").dropDuplicates(["rep"])
-
-    def between(self, members: DataFrame, sigs: DataFrame) -> DataFrame:
-        """Links (a, b) between different labels of a family; ``members``: family, rep, label.
-
-        Every pair of a family with different labels is estimated, and counted where the
-        estimate leaves it open. A large family is cut into blocks, and each pair of
-        blocks is a group of its own, so no task holds more than two blocks.
-        """
-        blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        m = members.join(blocks, "family").join(sigs, "rep").join(self._sets(members.select(F.col("rep").alias("doc_id"))), "rep")
+        texts = self.docs.join(hint(wanted), ["doc_id", "mark"]).select("rep", "text")
+        return self._written(texts.mapInArrow(giving_back(_sets), "rep long, shingles binary"), "sets").dropDuplicates(["rep"])
+
+    def _dealt(self, members: DataFrame, *columns: str) -> DataFrame:
+        """Members of each bucket in blocks; every pair of blocks is a group of its own, so no task holds more than two."""
+        blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        m = m.withColumn("own", own).withColumn("other", other).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-        dealt = m.select("family", "p", "q", "own", "rep", "label", "sig", "shingles").repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
-        return materialise(dealt.mapInArrow(_between(self.threshold, self.weighted), "a long, b long"), "links")
+        m = members.join(blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        m = m.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).select("band", "p", "q", "own", "rep", "label", "n", "sig", "bands", *columns)
+        return m.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+
+    def between(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between different labels of a bucket; ``members``: band, rep, label."""
+        signed = self._written(members.join(self.reps.select("rep", "n", "sig", "bands"), "rep"), "signed")
+        named = self._dealt(signed).mapInArrow(_between(self.threshold, self.weighted, False), "a long, b long")
+        active = self._written(named.distinct().select(F.col("a").alias("band"), F.col("b").alias("rep")), "active")
+        some = signed.join(active, ["band", "rep"]).join(self._sets(active.select("rep").distinct()), "rep")
+        return self._written(self._dealt(some, "shingles").mapInArrow(_between(self.threshold, self.weighted, True), "a long, b long"), "links")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that reach the threshold; a should be the commoner side."""
-        pairs = materialise(pairs, "pairs")
-        sets = self._sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        pairs = self._written(pairs, "pairs")
+        sets = self._sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
         one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         two = one.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-        return materialise(two.select("a", "b", "x", "y").mapInArrow(_linked(self.threshold, self.weighted), "a long, b long"), "links")
+        return self._written(two.select("a", "b", "x", "y").mapInArrow(giving_back(_linked(self.threshold, self.weighted)), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
-    """doc_id and class_id of every document of ``docs`` (doc_id, text)."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text) of the rows with an id; id and mark name a text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).where("doc_id is not null")
+
+
+def _classes(docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """(doc_id, mark, rows, class_id, stays) per id and text: the class, and whether this one stands for it.
+
+    Word sequences are the nodes, under a hash of their words; a class stands under the
+    smallest id of its members and is represented by that document.
+    """
     bounded_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sketch = materialise(d.mapInArrow(_sketched(weighted), SKETCH), "sketch")
-    worded = sketch.where("n > 0")
-    ids = worded.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(
-        worded.join(ids.select(F.col("key").alias("__key"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("__key"))).dropDuplicates(["rep", "key"]).select("rep", "n", "sig", "bands"),
-        "reps",
-    )
+    d = _marked(docs)
+    sketch = materialise(d.mapInArrow(giving_back(_sketched(weighted)), SKETCH), "sketch")
+    node = F.xxhash64("key").alias("rep")
+    one = sketch.groupBy("doc_id", "mark").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.count("*").alias("rows"))
+    worded = sketch.where("n > 0").select("doc_id", "mark", node, "n", "sig", "bands")
+    first = worded.groupBy("rep").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("rep", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
+    reps = materialise(worded.join(first, ["rep", "doc_id", "mark"]).dropDuplicates(["rep"]), "reps")
     member = reps.select("rep", F.explode("bands").alias("band"))
     size = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    member = materialise(member.join(size, "band"), "members")
-    mass = member.groupBy("rep").agg(F.sum("size").alias("mass"))
-    member = materialise(member.join(mass, "rep").select("band", "rep", "mass"), "ranked")
-    centre = member.groupBy("band").agg(F.max(F.struct("mass", (-F.col("rep")).alias("neg"))).alias("c")).select("band", (-F.col("c.neg")).alias("b"))
+    met = materialise(member.join(size, "band"), "members")
+    mass = met.groupBy("rep").agg(F.sum("size").alias("mass"))
+    member = materialise(met.join(mass, "rep").select("band", "rep", "mass"), "ranked")
+    centre = member.groupBy("band").agg(F.max(F.struct("mass", "rep")).alias("c")).select("band", F.col("c.rep").alias("b"))
     sig = reps.select("rep", "sig", "n")
     left, right = (sig.select(F.col("rep").alias(a), F.col("sig").alias(x), F.col("n").alias(f"n{a}")) for a, x in (("a", "x"), ("b", "y")))
     apart = F.least("na", "nb") >= threshold * F.greatest("na", "nb") if not weighted else F.lit(True)
 
     verifier = Verifier(d, reps, threshold, weighted)
+    stars = member.select("band", F.col("rep").alias("a")).join(centre, "band").where("a <> b").select("a", "b").distinct()
+    stars = stars.join(left, "a").join(right, "b").where(apart).select("a", "b", "x", "y")
+    links = verifier.links(verifier.close(stars))
+    near = components(links)
+    labelled = member.join(near, member["rep"] == near["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    more = verifier.between(labelled.join(mixed, "band").select("band", "rep", "label"))
+    group = components(links.union(more))
+    named = reps.select("rep", "doc_id").join(group, reps["rep"] == group["node"], "left").select("rep", "doc_id", F.coalesce("label", "rep").alias("label"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = named.join(least, "label").select(F.col("rep").alias("node"), "class_id", "label")
+    keyed = one.where("n > 0").withColumn("node", F.xxhash64("key")).join(named, "node").select("doc_id", "mark", "rows", "class_id", "label")
+    chosen = keyed.groupBy(F.col("label").alias("__label")).agg(F.min(F.struct("doc_id", "mark")).alias("__first"))
+    stays = (F.col("doc_id") == F.col("__first.doc_id")) & (F.col("mark") == F.col("__first.mark"))
+    keyed = keyed.join(chosen, F.col("label") == F.col("__label")).select("doc_id", "mark", "rows", "class_id", stays.alias("stays"))
+    # Texts without words: one row of each id stays.
+    bare = one.where("n = 0")
+    bare = bare.join(bare.groupBy(F.col("doc_id").alias("__id")).agg(F.min("mark").alias("__mark")), F.col("doc_id") == F.col("__id"))
+    bare = bare.select("doc_id", "mark", "rows", F.col("doc_id").alias("class_id"), (F.col("mark") == F.col("__mark")).alias("stays"))
+    out = materialise(keyed.union(bare), "classes")
+    release(sketch, reps, met, member, near, group, *verifier.scratch)
+    return out
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(left, "a").join(right, "b").where(apart)
-        return verifier.links(verifier.close(both.select("a", "b", "x", "y")))
 
-    stars = member.select("band", F.col("rep").alias("a")).join(centre, "band").where("a <> b").select("a", "b").distinct()
-    links = compared(stars)
-    group = materialise(components(links), "groups")
-    labelled = member.join(group, member["rep"] == group["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "low")
-    rest = materialise(labelled.join(mixed, "band").select("rep", "label", "low").distinct(), "rest")
-    family = components(rest.select(F.col("label").alias("a"), F.col("low").alias("b"))).withColumnRenamed("label", "family")
-    left_over = rest.select("rep", "label").distinct().join(family, F.col("label") == F.col("node")).select("family", "rep", "label")
-    more = verifier.between(materialise(left_over, "families"), reps.select("rep", "sig"))
-    group = materialise(components(links.union(more)), "groups")
-    named = ids.join(group, ids["rep"] == group["node"], "left").select("key", F.coalesce("label", "rep").alias("class_id"))
-    one = sketch.select("doc_id", "key", "n").distinct()
-    return one.where("n > 0").join(named, "key").select("doc_id", "class_id").union(one.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
+    """doc_id and class_id of every document of ``docs`` (doc_id, text)."""
+    found = _classes(docs, threshold, weighted).select("doc_id", "class_id").distinct()
+    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint"), F.lit(None).cast("bigint").alias("class_id"))
+    return found.union(nameless)
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id.
 
-    Rows that repeat both id and words are one document, and one of them stays (the one
-    whose text is smallest); rows without an id all stay.
+    Rows that repeat both id and words are one document, and one of them stays; rows of
+    one id with other words are judged each for itself; rows without an id all stay.
     """
-    found = near_duplicates(docs, threshold, weighted)
-    gone = materialise(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    hint = F.broadcast if gone.count() <= BROADCAST_IDS else lambda x: x
-    kept = docs.join(hint(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = materialise(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    n = again.count()
-    if not n:
+    found = _classes(docs, threshold, weighted)
+    gone = materialise(found.where(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "gone")
+    again = materialise(found.where(F.col("stays") & (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "again")
+    release(found)
+    counts = [x.count() for x in (gone, again)]
+    some = [F.broadcast(x) if n <= BROADCAST_IDS else x for x, n in zip((gone, again), counts, strict=True)]
+    here = (F.col("doc_id").cast("bigint") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__mark"))
+    kept = docs.join(some[0], here, "left_anti").select(*docs.columns)
+    if not counts[1]:
         return kept
-    # Only the texts of repeated ids are shuffled.
-    hint = F.broadcast if n <= BROADCAST_IDS else lambda x: x
-    once = kept.join(hint(again), "doc_id", "left_anti").select(*docs.columns)
-    key = F.sha2(F.array_join(words(F.col("text").cast("string")), " "), 256)
-    twice = kept.join(hint(again), "doc_id", "left_semi").select("doc_id", key.alias("key"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
-    folded = twice.groupBy("doc_id", "key").agg(F.min_by("row", F.coalesce("t", F.lit(""))).alias("row"))
-    return once.union(folded.select("row.*"))
+    # Only the texts of rows that stay and repeat are shuffled.
+    once = kept.join(some[1], here, "left_anti").select(*docs.columns)
+    twice = kept.join(some[1], here, "left_semi").select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("__mark"), F.struct(*docs.columns).alias("row"))
+    return once.union(twice.groupBy("doc_id", "__mark").agg(F.first("row").alias("row")).select("row.*"))

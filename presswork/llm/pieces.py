@@ -7,14 +7,14 @@ law: log p = -ln(rank) up to a constant. Log probabilities become whole costs of
 that sums are exact; the segmentation with the smallest sum is the best, and of equal ones
 that with the longest last piece.
 
-``Stream`` takes a text in any chunks and keeps only what a later character can still
-change: a future piece begins in the last ``max_piece`` positions, so as soon as the best
-paths to all of these share a boundary, the ids before it are final and are committed.
+``Stream`` takes a text in any chunks. A position is final once the longest piece behind
+it is known, so the paths that can still win end in the next ``max_piece`` positions; as
+soon as all of them share a boundary, the ids before it are committed and forgotten.
 
-Where two neighbouring characters stand next to each other in no piece, every path has a
-boundary between them; the text falls into segments there, and equal segments share one
-search through a bounded cache. Segments that are not in the cache are searched together,
-position by position, in one vectorised pass.
+Where two neighbouring characters stand next to each other in no piece, all paths share
+the boundary between them whatever surrounds it. Windows between two such boundaries
+(mostly words) are kept with their ids in a table of bounded size; what is not there goes
+through the stream.
 
 Normalisation follows the file: a space in front, spaces written as U+2581, nothing
 removed. A character outside the vocabulary becomes its UTF-8 bytes; so does U+2581
@@ -39,7 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from presswork.llm.common import bounded_batches
+from presswork.llm.common import bounded_batches, giving_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -47,9 +47,9 @@ SPACE = "▁"
 UNIT = 64
 #: Above the highest cost, for a character outside the vocabulary.
 UNKNOWN_PENALTY = 10 * UNIT
-#: Longer segments are streamed, not cached.
-LONG_SEGMENT = 64
-CACHE_SEGMENTS = 500_000
+#: Characters that a stream takes at a time, and bytes that the windows of a task may keep.
+CHUNK = 1 << 14
+CACHE_BYTES = 32 << 20
 FAR = 1 << 40
 
 
@@ -60,6 +60,8 @@ class Vocabulary:
         self.byte_ids = byte_ids
         self.max_piece = max((len(p) for p in self.cost), default=1)
         self.unknown = max(self.cost.values(), default=0) + UNKNOWN_PENALTY
+        #: Cost of every piece; of what only begins one: FAR.
+        self.known = {p[:m]: FAR for p in self.cost for m in range(1, len(p))} | self.cost
         self.bytes_of = [n.encode() for n in names]
         for b, i in enumerate(byte_ids):
             self.bytes_of[i] = bytes([b])
@@ -98,227 +100,157 @@ class Vocabulary:
 
 
 class Stream:
-    """Viterbi search over a text that arrives in chunks; ``out`` gets the committed ids."""
+    """Viterbi search over a text that arrives in chunks; ``out`` gets the committed ids.
+
+    A position is expanded once ``max_piece`` characters behind it are known. What lies
+    ahead of the expanded ones is then at most ``max_piece`` positions, each with its best
+    path so far; where all these paths share a boundary, the pieces before it are final.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        #: The most positions that were ever expanded and not yet committed.
+        self.longest = 0
+        self._start()
+
+    def _start(self) -> None:
         self.out = array("i")
+        #: What is not committed yet; by position: best cost, where its last piece begins.
         self.text = ""
-        #: By position of ``text``: best cost, where its last piece begins, the first boundary of its path.
         self.best: list[int] = [0]
         self.back: list[int] = [0]
-        self.first: list[int] = [0]
-        self.longest = 0
+        self.done = 0
 
     def feed(self, chunk: str) -> None:
-        v, cost, reach = self.v, self.v.cost, self.v.max_piece
-        for c in chunk:
-            self.text += c
-            text, best, n = self.text, self.best, len(self.best)
-            top, at = FAR, n - 1
-            for i in range(max(0, n - reach), n):
-                s = cost.get(text[i:n])
-                if s is None:
-                    if i < n - 1:
-                        continue
-                    s = v.unknown
-                s += best[i]
-                if s < top:
-                    top, at = s, i
-            best.append(top)
-            self.back.append(at)
-            self.first.append(n if at == 0 else self.first[at])
-            self.longest = max(self.longest, n)
-            if n >= 2:
+        for k in range(0, len(chunk), CHUNK):
+            part = chunk[k : k + CHUNK]
+            self.text += part
+            self.best += [FAR] * len(part)
+            self.back += [0] * len(part)
+            while len(self.text) - self.done >= 2 * self.v.max_piece:
+                self._expand(self.done + self.v.max_piece)
                 self._commit()
 
+    def _expand(self, until: int) -> None:
+        """Relax every piece that begins before ``until``; of equal sums the longest last piece stays."""
+        text, best, back = self.text, self.best, self.back
+        known, unknown, size = self.v.known.get, self.v.unknown, len(text)
+        for i in range(self.done, until):
+            here, k = best[i], i + 1
+            cost = known(text[i])
+            if cost is None or cost == FAR:
+                if here + unknown < best[k]:
+                    best[k], back[k] = here + unknown, i
+            while cost is not None:
+                total = here + cost
+                if total < best[k]:
+                    best[k], back[k] = total, i
+                if k == size:
+                    break
+                k += 1
+                cost = known(text[i:k])
+        self.done = until
+
     def _commit(self) -> None:
-        """Take the pieces before a boundary that all surviving paths share."""
-        while len(self.best) > 2:
-            alive = self.first[max(0, len(self.best) - self.v.max_piece) :]
-            f = alive[0]
-            if f == 0 or f >= len(self.best) - 1 or any(x != f for x in alive):
-                return
-            self._emit(self.text[:f])
-            self.text = self.text[f:]
-            base = self.best[f]
-            self.best = [x - base for x in self.best[f:]]
-            self.back = [max(0, x - f) for x in self.back[f:]]
-            self.first = [0]
-            for k in range(1, len(self.best)):
-                self.first.append(k if self.back[k] == 0 else self.first[self.back[k]])
-
-    def _emit(self, piece: str) -> None:
-        i = self.v.ids.get(piece)
-        if i is None:
-            self.out.extend(self.v.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
-        else:
-            self.out.append(i)
+        """Take the pieces before the last boundary that all surviving paths share."""
+        back, n = self.back, self.done
+        self.longest = max(self.longest, n)
+        paths = {k for k in range(n, min(len(self.best), n + self.v.max_piece)) if self.best[k] < FAR}
+        while len(paths) > 1:
+            k = max(paths)
+            paths.remove(k)
+            paths.add(back[k])
+        at = paths.pop()
+        if at:
+            self._emit(at)
+            base = self.best[at]
+            self.text, self.done = self.text[at:], n - at
+            self.best = [x - base if x < FAR else FAR for x in self.best[at:]]
+            self.back = [max(0, x - at) for x in back[at:]]
+
+    def _emit(self, at: int) -> None:
+        ends = []
+        while at:
+            ends.append((self.back[at], at))
+            at = self.back[at]
+        ids, text = self.v.ids, self.text
+        for i, k in reversed(ends):
+            name = ids.get(text[i:k])
+            if name is None:
+                self.out.extend(self.v.byte_ids[b] for b in text[i:k].encode("utf-8", "surrogatepass"))
+            else:
+                self.out.append(name)
 
     def close(self) -> array:
-        ends, k = [], len(self.text)
-        while k:
-            ends.append((self.back[k], k))
-            k = self.back[k]
-        for i, k in reversed(ends):
-            self._emit(self.text[i:k])
-        self.text, self.best, self.back, self.first = "", [0], [0], [0]
-        return self.out
-
-
-class PieceTable:
-    """All prefixes of all pieces in an open hash table, for many look-ups at once."""
-
-    BITS = 20
-    BASE = np.uint64(0x9E3779B97F4A7C15)
-
-    def __init__(self, v: Vocabulary):
-        known: dict[str, tuple[int, int]] = {}
-        for piece, i in v.ids.items():
-            for m in range(1, len(piece)):
-                known.setdefault(piece[:m], (FAR, -1))
-        known |= {piece: (v.cost[piece], i) for piece, i in v.ids.items()}
-        words = list(known)
-        keys = np.zeros(len(words), np.uint64)
-        for k in range(v.max_piece):
-            live = [j for j, w in enumerate(words) if len(w) > k]
-            keys[live] = self.step(keys[live], np.array([ord(words[j][k]) for j in live], np.uint64))
-        self.cost = np.array([known[w][0] for w in words] + [FAR], np.int64)
-        self.id = np.array([known[w][1] for w in words] + [-1], np.int32)
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.row = np.full(1 << self.BITS, -1, np.int32)
-        slots = self.slot(keys)
-        for j in range(len(words)):
-            k = int(slots[j])
-            while self.row[k] >= 0:
-                k = (k + 1) & ((1 << self.BITS) - 1)
-            self.keys[k], self.row[k] = keys[j], j
-
-    def step(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (h + c + np.uint64(1)) * self.BASE
-
-    def slot(self, h: np.ndarray) -> np.ndarray:
-        return ((h ^ (h >> np.uint64(29))) * self.BASE >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Row of each hashed string, -1 where no piece begins so."""
-        k = self.slot(h)
-        row = self.row[k]
-        open_ = np.flatnonzero((row >= 0) & (self.keys[k] != h))
-        while len(open_):
-            k[open_] = (k[open_] + 1) & ((1 << self.BITS) - 1)
-            row[open_] = self.row[k[open_]]
-            open_ = open_[(row[open_] >= 0) & (self.keys[k[open_]] != h[open_])]
-        return row
+        """All ids; the text ends here, and the stream may take a new one."""
+        while self.done < len(self.text):
+            self._expand(min(len(self.text), self.done + self.v.max_piece))
+            if self.done < len(self.text):
+                self._commit()
+        self._emit(len(self.text))
+        out = self.out
+        self._start()
+        return out
+
+
+class Windows(dict):
+    """Ids (bytes of 32-bit integers) of the stretches between certain boundaries.
+
+    A stretch that is not there is searched by the stream. Two generations of at most
+    ``CACHE_BYTES`` together are kept, so what occurs often stays.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.stream = Stream(vocabulary)
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+        #: The empty stretch stands for a U+2581 of the text itself.
+        self.mark = array("i", [vocabulary.byte_ids[b] for b in SPACE.encode()]).tobytes()
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.old.get(stretch)
+        if ids is None:
+            if stretch:
+                self.stream.feed(stretch)
+                ids = self.stream.close().tobytes()
+            else:
+                ids = self.mark
+        # Two objects and a slot; a character takes up to four bytes.
+        self.size += 200 + 4 * len(stretch) + len(ids)
+        if self.size > CACHE_BYTES // 2:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+        self[stretch] = ids
+        return ids
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.segments = vocabulary.pattern().findall
-        self.table = PieceTable(vocabulary)
-        #: Ids by segment; the empty segment stands for a U+2581 of the text itself.
-        self.cache: dict[str, bytes] = {"": array("i", [vocabulary.byte_ids[b] for b in SPACE.encode()]).tobytes()}
-
-    def _ids(self, segment: str) -> bytes:
-        """Ids of one segment, as the bytes of 32-bit integers."""
-        stream = Stream(self.v)
-        stream.feed(segment)
-        return stream.close().tobytes()
-
-    def _search(self, segments: list[str]) -> None:
-        """Put the ids of short segments into the cache: Viterbi for all of them at once."""
-        t, v = self.table, self.v
-        c = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        n = len(c)
-        inside = np.arange(n) - np.repeat(starts, sizes)
-        left = np.repeat(ends, sizes) - np.arange(n)
-        order = np.argsort(inside, kind="stable")  # all first characters, all second ones, ...
-        live, h = order, np.zeros(n, np.uint64)
-        edges = []
-        for m in range(1, v.max_piece + 1):
-            h = t.step(h, c[live + (m - 1)])
-            row = t.find(h)
-            cost = t.cost[row]
-            known = cost < FAR
-            at, price, name = live[known], cost[known], t.id[row[known]]
-            if m == 1:  # a character without a piece still has an edge
-                lone = live[~known]
-                at = np.concatenate([at, lone])
-                again = np.argsort(inside[at], kind="stable")
-                at, price, name = at[again], np.concatenate([price, np.full(len(lone), v.unknown)])[again], np.concatenate([name, np.full(len(lone), -1, np.int32)])[again]
-            edges.append((at, price, name, np.searchsorted(inside[at], np.arange(LONG_SEGMENT + 1))))
-            more = (row >= 0) & (left[live] > m)
-            live, h = live[more], h[more]
-            if not len(live):
-                break
-        # Position p of a segment is slot start + p of its own run of size + 1 slots.
-        shift = np.repeat(np.arange(len(segments)), sizes)
-        best = np.full(n + len(segments), FAR, np.int64)
-        back = np.zeros(n + len(segments), np.int8)
-        made = np.full(n + len(segments), -1, np.int32)
-        first = starts + np.arange(len(segments))
-        best[first] = 0
-        for p in range(int(sizes.max(initial=0))):
-            for m, (at, price, name, cut) in enumerate(edges, 1):
-                lo, hi = cut[p], cut[p + 1]
-                if lo == hi:
-                    continue
-                here = at[lo:hi] + shift[at[lo:hi]]
-                total = best[here] + price[lo:hi]
-                better = total < best[here + m]
-                to = here[better] + m
-                best[to], back[to], made[to] = total[better], m, name[lo:hi][better]
-        cur = first + sizes
-        who = np.arange(len(segments))
-        slots, owners = [], []
-        while len(who):
-            slots.append(cur)
-            owners.append(who)
-            cur = cur - back[cur]
-            go = cur > first[who]
-            cur, who = cur[go], who[go]
-        slot = np.sort(np.concatenate(slots)) if slots else np.zeros(0, np.int64)
-        counts = np.bincount(np.concatenate(owners), minlength=len(segments)) if owners else np.zeros(0, np.int64)
-        ids = made[slot]
-        data, cut = ids.tobytes(), np.concatenate([[0], np.cumsum(counts)])
-        odd = np.zeros(len(segments), bool)
-        odd[np.repeat(np.arange(len(segments)), counts)[ids < 0]] = True
-        cuts = (cut * 4).tolist()
-        self.cache.update(zip(segments, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        for k in np.flatnonzero(odd).tolist():
-            self.cache[segments[k]] = self._ids(segments[k])
-
-    def _cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        first, *rest = text.split(SPACE)
-        out = self.segments(SPACE + first.replace(" ", SPACE))
-        for part in rest:
-            out.append("")
-            out += self.segments(part.replace(" ", SPACE))
-        return out
+        self.pattern = vocabulary.pattern()
+        self.windows = Windows(vocabulary)
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as the bytes of 32-bit integers."""
-        if len(self.cache) > CACHE_SEGMENTS:
-            self.cache = {"": self.cache[""]}
-        cache = self.cache
-        cut = [self._cut(t) for t in texts]
-        new = set().union(*cut).difference(cache)
-        long = {s: self._ids(s) for s in new if len(s) > LONG_SEGMENT}
-        new = [s for s in new if len(s) <= LONG_SEGMENT]
-        for k in range(0, len(new), 50_000):
-            self._search(new[k : k + 50_000])
-        if not long:
-            return [b"".join(map(cache.__getitem__, x)) for x in cut]
-        return [b"".join([cache[s] if s in cache else long[s] for s in x]) for x in cut]
+    def _stretches(self, text: str) -> Iterator[str]:
+        if not text:
+            return
+        for k, part in enumerate(text.split(SPACE)):
+            if k:
+                yield ""
+                part = part.replace(" ", SPACE)
+            else:
+                part = SPACE + part.replace(" ", SPACE)
+            if len(part) <= CHUNK:
+                yield from self.pattern.findall(part)
+            else:  # a match at a time, so a long text is no list of its stretches
+                yield from (m[0] for m in self.pattern.finditer(part))
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        """Ids of a text, as the bytes of 32-bit integers."""
+        of, stretches, out = self.windows.__getitem__, self._stretches(text), []
+        while part := b"".join(map(of, itertools.islice(stretches, 4096))):
+            out.append(part)
+        return b"".join(out)
 
     def decode(self, ids: array) -> str:
         """The text that was encoded: bytes U+2581 of a piece are spaces, those of byte ids are not."""
@@ -344,10 +276,10 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str = MODEL, keep_t
         for b in batches:
             column = b.column(b.num_columns - 1)
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-            group = (np.cumsum(sizes) // (2 << 20)).tolist()  # about 2 MB of text at a time
+            group = (np.cumsum(sizes, dtype=np.int64) // (1 << 20)).tolist()  # about 1 MB of text at a time
             for start, end in itertools.pairwise([0, *(k for k in range(1, b.num_rows) if group[k] != group[k - 1]), b.num_rows]):
                 texts = [x or "" for x in column.slice(start, end - start).to_pylist()]
-                rows = encoder.encode_all(texts)
+                rows = [encoder.encode(t) for t in texts]
                 n, sums, same = [len(x) // 4 for x in rows], [hashlib.sha256(x).hexdigest() for x in rows], []
                 for t, x in zip(texts, rows, strict=True):
                     ids = array("i")
@@ -362,4 +294,4 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str = MODEL, keep_t
                 )
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean"])
-    return docs.select(*(docs[f"`{c}`"] for c in names), docs[text].alias("__text")).mapInArrow(of, fields)
+    return docs.select(*(docs[f"`{c}`"] for c in names), docs[text].alias("__text")).mapInArrow(giving_back(of), fields)

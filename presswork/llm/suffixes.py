@@ -454,7 +454,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     bounded_batches(docs.sparkSession)
     texts = _keyed(docs).where(F.octet_length("text") >= length)
     anchors = materialise(texts.select("key", "text").mapInArrow(giving_back(_anchored(length)), "h long, key long, place long"), "anchors")
-    counted = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counted = materialise(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "halves")  # written, so that the engine can split hot halves in the join
     place = F.col("place").bitwiseOR(F.when(F.col("n") > HOT_ENTRIES, F.lit(HOT)).otherwise(F.lit(0)).cast("bigint"))
     met = anchors.hint("merge").join(counted, "h").groupBy("key").agg(F.collect_set(place).alias("places"))
     places = materialise(met, "places")
@@ -465,11 +465,11 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     dealt = runs.where("bucket is not null").select("bucket", "run").repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(giving_back(_merge(length)), "key long, check int, start long, end long")
     strings = runs.where("s1 is not null")
-    again = strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
+    again = materialise(strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2"), "strings")
     found = found.union(strings.hint("merge").join(again, ["s1", "s2"]).select("key", "check", "start", "end"))
     found = found.union(runs.where("bucket is null and s1 is null").select("key", "check", "start", "end"))
     spans = materialise(found.groupBy("key", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    release(anchors, places, runs)
+    release(anchors, counted, places, runs, again)
     return spans
 
 

@@ -59,6 +59,7 @@ def test_classes(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id bigint, text string, class_id double")
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got.pop(None) is None  # a row without an id is in the result and has no class
     assert got == classes(rows)
     kept = neardup.deduplicated(df).collect()
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == set(got.values())
@@ -138,6 +139,35 @@ def test_repeated_rows_stay_once(spark):
     assert neardup.deduplicated(nulls).count() == 3
 
 
+def test_two_texts_under_one_id(spark):
+    """A text goes if it is a copy, whatever else stands under its id; near copies under one id are one class."""
+    rng = random.Random(16)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(1, a), (5, a + " tail"), (5, b), (6, c), (6, c + " tail"), (None, a), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = neardup.deduplicated(df).collect()
+    assert sorted(r["text"] for r in kept if r["doc_id"] in (1, 5)) == sorted([a, b])
+    assert [r["doc_id"] for r in kept].count(6) == 1 and [r["doc_id"] for r in kept].count(None) == 2
+    got = sorted(map(tuple, neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1), (5, 1), (5, 5), (6, 6), (None, None), (None, None)], key=str)
+
+
+def test_bucket_of_chains(spark, monkeypatch):
+    """Groups that meet in buckets without their centres linking, over several blocks, weighted too."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = random.Random(17)
+    base = prose(rng, 60).split()
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for j in range(rng.randrange(0, 4)):
+            w[rng.randrange(60)] = prose(rng, 1)
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, weighted=True).collect()} == classes(rows)
+
+
 def test_repeated_document_survives_the_cuts(spark):
     """What the near-dedup leaves of a repeated document of 400 bytes or more is not cut to nothing."""
     t = prose(random.Random(14), 150)

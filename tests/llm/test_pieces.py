@@ -42,7 +42,7 @@ def test_against_library(vocabulary):
     rng = random.Random(1)
     sp, e = reference(vocabulary), pieces.Encoder(vocabulary)
     texts = [prose(rng, 60, "etaoinsdhrü,.é") for _ in range(40)] + ["日本語 text\n\n\tmore   spaces ", "ab" * 100, "🙂 x", ""]
-    assert [list(ids(x)) for x in e.encode_all(texts)] == [sp.encode(t) for t in texts]
+    assert [list(ids(e.encode(t))) for t in texts] == [sp.encode(t) for t in texts]
 
 
 def test_stream_in_chunks(vocabulary):
@@ -57,10 +57,39 @@ def test_stream_in_chunks(vocabulary):
             n = rng.randrange(1, 9)
             s.feed(shown[at : at + n])
             at += n
-        assert s.longest < 200
+        assert s.longest < 6 * vocabulary.max_piece
         assert list(s.close()) == list(ids(e.encode(t)))
 
 
+def test_table_of_windows_is_bounded(vocabulary, monkeypatch):
+    """Ids do not depend on what the table holds, and its size stays below its bound."""
+    rng = random.Random(3)
+    texts = [prose(rng, 40, "etaoin shrdlu") for _ in range(30)]
+    want = [pieces.Encoder(vocabulary).encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 4000)
+    e = pieces.Encoder(vocabulary)
+    for t, x in zip(texts, want, strict=True):
+        assert e.encode(t) == x
+        assert sum(200 + 4 * len(s) + len(i) for d in (e.windows, e.windows.old) for s, i in d.items()) <= 4000 + 300
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_real_texts(vocabulary):
+    """Ids of whole documents equal the library's; unbroken streams commit within a short window."""
+    import duckdb
+
+    rows = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchall()
+    sp, e = reference(vocabulary), pieces.Encoder(vocabulary)
+    texts = [t for (t,) in rows if pieces.SPACE not in t]
+    for t in texts:
+        assert list(ids(e.encode(t))) == sp.encode(t)
+    s = pieces.Stream(vocabulary)
+    for t in texts[::10]:
+        s.feed(pieces.SPACE + t.replace(" ", pieces.SPACE))
+        assert list(s.close()) == sp.encode(t)
+    assert s.longest < 8 * vocabulary.max_piece
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(text):
