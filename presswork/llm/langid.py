@@ -2,14 +2,14 @@
 
 For every language a byte context tree of variable order is learned: under a context of
 up to three bytes, a byte seen there costs its share, any other byte costs an escape and
-is coded under the next shorter context, down to a uniform code over all bytes. With the
-statistics frozen, the code length of a byte depends only on the longest context that is
-in the tree, so the trees of all languages are merged into two tables: three symbols to
-a context, and context and symbol to a cost per language. A text's code lengths are sums
-of table rows, and the language with the shortest code is predicted.
+is coded under the next shorter context, down to a uniform code over all 256 bytes. With
+the statistics frozen, each byte's code length depends on its context alone, so the trees
+are sorted tables of strings and costs per language, one table per level. A text's
+code lengths are sums of table rows, and the language with the shortest code is predicted.
 
-The model is fitted on at most ``per_lang`` texts of a language, of at most ``max_bytes``
-bytes each (the texts whose hashed ids are smallest); every text is scored as a whole.
+The model is fitted on at most ``per_lang`` texts of a language (those whose hashed ids
+are smallest) and on at most the first ``max_bytes`` bytes of each; every text is scored
+as a whole. A letter is a character of a Unicode category L.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to
 the language first in code point order; without labelled texts all are ``und``; a null
@@ -19,7 +19,6 @@ the named ones play a part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from presswork.llm.common import bounded_batches
+from presswork.llm.common import bounded_batches, giving_back
 
 UNKNOWN = "und"
-MAX_SYMBOLS = 112
-#: Occurrences that make a three-byte context a node of the tree.
-MIN_CONTEXT = 4
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of the longest context.
+ORDER = 3
+#: Stands for the start of a text in contexts; no UTF-8 text holds this byte.
+START = 0xFF
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,90 +42,99 @@ def held_out(doc_id: Column) -> Column:
 
 
 class ContextTrees:
-    """Frozen trees of several languages, as lookup tables."""
-
-    def __init__(self, texts: dict[str, list[bytes]]):
-        self.langs = sorted(texts)
-        raw = np.bincount(np.frombuffer(b"".join(t for x in texts.values() for t in x) or b" ", np.uint8), minlength=256)
-        kept = np.argsort(-raw, kind="stable")[: MAX_SYMBOLS - 1]
-        kept = kept[raw[kept] > 0]
-        #: Symbol 0 stands for the start of a text and for every byte that training rarely saw.
-        self.symbol = np.zeros(256, np.int32)
-        self.symbol[kept] = np.arange(1, len(kept) + 1)
-        a = self.size = len(kept) + 1
+    """Frozen trees of several languages, as sorted tables over all 256 byte values.
+
+    Level k has a row for every string of k context bytes and a byte that any language
+    showed, with the byte's whole cost (escapes included) in each language, and a row for
+    every such context with the cost of its escape, 0 where a language lacks the context.
+    """
+
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+        if not 1 <= order <= 7:
+            raise ValueError("order must be from 1 to 7")
+        self.langs, self.order = sorted(texts), order
         n_langs = len(self.langs)
-        counts3 = np.zeros((n_langs, a**3), np.int32)
-        fours = []
-        for k, lang in enumerate(self.langs):
-            threes, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for t in texts[lang]:
-                s = np.concatenate([[0, 0, 0], self.symbol[np.frombuffer(t, np.uint8)]]).astype(np.int64)
-                three = (s[:-2] * a + s[1:-1]) * a + s[2:]
-                threes.append(three)
-                pairs.append(three[:-1] * a + s[3:])
-            counts3[k] = np.bincount(np.concatenate(threes), minlength=a**3)
-            fours.append(np.unique(np.concatenate(pairs), return_counts=True))
-
-        def step(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-            """Probabilities (context, symbol) from counts and those of the shorter context."""
-            n, t = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-            whole = np.maximum(n + t, 1)
-            return np.where(n > 0, np.where(counts > 0, counts / whole, t / whole * shorter), shorter).astype(np.float32)
-
-        order2 = []
-        for k in range(n_langs):
-            c2 = counts3[k].reshape(a * a, a)
-            c1, c0 = c2.reshape(a, a, a).sum(0), c2.sum(0)
-            p0 = step(c0[None], np.full((1, a), 1 / 256))
-            p1 = step(c1, p0)
-            order2.append(step(c2.reshape(a, a, a), p1[None]).reshape(a * a, a))
-        context = counts3.sum(0)
-        nodes = np.flatnonzero(context >= MIN_CONTEXT)
-        #: Three symbols to the row of their longest context: pairs come first, then triples.
-        self.state = np.tile(np.arange(a * a, dtype=np.int32), a)
-        self.state[nodes] = a * a + np.arange(len(nodes), dtype=np.int32)
-        cost = np.empty(((a * a + len(nodes)) * a, n_langs), np.float32)
-        row = np.full(a**3, -1, np.int64)
-        row[nodes] = np.arange(len(nodes))
-        for k in range(n_langs):
-            c3 = np.zeros((len(nodes), a), np.int32)
-            at, n = fours[k]
-            ok = row[at // a] >= 0
-            c3[row[at[ok] // a], at[ok] % a] = n[ok]
-            p3 = step(c3, order2[k][nodes % (a * a)])
-            cost[:, k] = -np.log2(np.concatenate([order2[k].ravel(), p3.ravel()]))
-        self.cost = cost
-
-    def code_lengths(self, text: np.ndarray, piece: int = 1 << 19) -> np.ndarray:
+        self.keys: list[np.ndarray] = []
+        self.cost: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.escape: list[np.ndarray] = []
+        streams = [[np.frombuffer(bytes([START] * order) + t, np.uint8) for t in texts[x]] for x in self.langs]
+        for k in range(order + 1):
+            kind = np.uint32 if k < 4 else np.uint64
+            each = [np.unique(np.concatenate([np.zeros(0, kind), *(self._strings(s, k, kind) for s in x)]), return_counts=True) for x in streams]
+            # At level 0 every byte has a row, seen or not.
+            keys = np.unique(np.concatenate([np.arange(256 if k == 0 else 0, dtype=kind), *(x for x, _ in each)]))
+            counts = np.zeros((len(keys), n_langs))
+            for j, (x, n) in enumerate(each):
+                counts[np.searchsorted(keys, x), j] = n
+            context, of = np.unique(keys >> kind(8), return_inverse=True)
+            n, kinds = np.zeros((len(context), n_langs)), np.zeros((len(context), n_langs))
+            np.add.at(n, of, counts)
+            np.add.at(kinds, of, counts > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(n > 0, np.log2(n + kinds) - np.log2(kinds), 0.0)
+                seen = np.log2((n + kinds)[of]) - np.log2(counts)
+            shorter = np.full((256, n_langs), 8.0) if k == 0 else self.cost[-1][np.searchsorted(self.keys[-1], (keys & kind((1 << 8 * k) - 1)).astype(self.keys[-1].dtype))]
+            self.keys.append(keys)
+            self.contexts.append(context)
+            self.escape.append(escape)
+            self.cost.append(np.where(counts > 0, seen, escape[of] + shorter))
+
+    def _strings(self, s: np.ndarray, k: int, kind) -> np.ndarray:
+        """Each byte behind its k bytes of context, as one number."""
+        n = len(s) - self.order
+        out = np.zeros(n, kind)
+        for j in range(self.order - k, self.order + 1):
+            out = out << kind(8) | s[j : j + n]
+        return out
+
+    def code_lengths(self, text: np.ndarray, piece: int = 1 << 17) -> np.ndarray:
         """Bits for the bytes of ``text`` under each language; bounded memory."""
-        a, total = self.size, np.zeros(len(self.langs))
-        carry = np.zeros(3, np.int32)
-        for k in range(0, len(text), piece):
-            s = np.concatenate([carry, self.symbol[text[k : k + piece]]])
-            state = self.state[(s[:-3] * a + s[1:-2]) * a + s[2:-1]]
-            total += self.cost[state * a + s[3:]].sum(0, dtype=np.float64)
-            carry = s[-3:]
+        total = np.zeros(len(self.langs))
+        carry = np.full(self.order, START, np.uint8)
+        for at in range(0, len(text), piece):
+            s = np.concatenate([carry, text[at : at + piece]])
+            carry = s[-self.order :]
+            string = self._strings(s, self.order, self.keys[-1].dtype.type)
+            for k in range(self.order, -1, -1):
+                kind = self.keys[k].dtype.type
+                string = (string & type(string[0])((1 << 8 * (k + 1)) - 1)).astype(kind)
+                rows, found = _rows(self.keys[k], string)
+                total += self.cost[k][rows[found]].sum(0)
+                string = string[~found]
+                if not len(string):
+                    break
+                rows, found = _rows(self.contexts[k], string >> kind(8))
+                total += self.escape[k][rows[found]].sum(0)
         return total
 
     def predict(self, text: str | None, data: np.ndarray) -> tuple[str, float]:
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         bits = self.code_lengths(data)
         best = int(bits.argmin())
         return self.langs[best], float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum())
 
 
+def _rows(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value would stand in the sorted table, and whether it is there."""
+    rows = np.minimum(np.searchsorted(table, wanted), max(0, len(table) - 1))
+    return rows, table[rows] == wanted if len(table) else np.zeros(len(wanted), bool)
+
+
 def train(docs: DataFrame, per_lang: int = 300, max_bytes: int = 16_384) -> ContextTrees:
-    """Trees of a bounded sample of the labelled texts of ``docs`` that are not held out."""
-    size = F.octet_length("text")
-    d = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (size > 0) & (size <= max_bytes))
+    """Trees of a bounded sample of the labelled texts of ``docs`` that are not held out.
+
+    The bound of the sample: ``per_lang`` texts of a language, and of each its first ``max_bytes`` bytes.
+    """
+    d = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
     h = F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     cut = d.select("lang", h.alias("h")).withColumn("n", rank).where(F.col("n") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut")).collect()
     texts: dict[str, list[bytes]] = {r["lang"]: [] for r in cut}
     if texts:
         ends = F.create_map(*[x for r in cut for x in (F.lit(r["lang"]), F.lit(r["cut"]))])
-        picked = d.where(h <= F.element_at(ends, F.col("lang"))).select("lang", F.col("text").cast("binary").alias("text"), h.alias("h"))
+        picked = d.where(h <= F.element_at(ends, F.col("lang"))).select("lang", F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("text"), h.alias("h"))
         ranked = picked.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= per_lang)
         for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["h"], bytes(r["text"]))):
             texts[r["lang"]].append(bytes(r["text"]))
@@ -150,4 +158,4 @@ def predict_language(docs: DataFrame, trees: ContextTrees, text: str = "text") -
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, "lang_pred", "score"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string", "score double"])
-    return docs.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias("__text")).mapInArrow(of, fields)
+    return docs.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias("__text")).mapInArrow(giving_back(of), fields)

@@ -43,26 +43,15 @@ def test_nothing_to_learn_from(spark):
     assert langid.predict_language(df.limit(0), trees).collect() == []
 
 
-def slow_bits(trees, texts, lang, data):
-    """Code length byte by byte, straight from the counts."""
-    s = [0, 0, 0] + [int(trees.symbol[b]) for b in data]
-    counts, every = {}, {}
-    for k, ts in texts.items():
-        for t in ts:
-            x = [0, 0, 0] + [int(trees.symbol[b]) for b in t]
-            for i in range(2, len(x)):
-                c = tuple(x[i - 2 : i + 1])
-                every[c] = every.get(c, 0) + 1
-            if k == lang:
-                for i in range(2, len(x)):
-                    for n in range(3):
-                        c = tuple(x[i - n : i])
-                        counts.setdefault(c, {})
-                        counts[c][x[i]] = counts[c].get(x[i], 0) + 1
-                for i in range(3, len(x)):
-                    c = tuple(x[i - 3 : i])
-                    counts.setdefault(c, {})
-                    counts[c][x[i]] = counts[c].get(x[i], 0) + 1
+def slow_bits(texts, data, order):
+    """Code length byte by byte, straight from the counts of one language."""
+    counts = {}
+    for t in texts:
+        x = [langid.START] * order + list(t)
+        for i in range(order, len(x)):
+            for n in range(order + 1):
+                c = counts.setdefault(tuple(x[i - n : i]), {})
+                c[x[i]] = c.get(x[i], 0) + 1
 
     def p(context, symbol):
         shorter = p(context[1:], symbol) if context else 1 / 256
@@ -70,15 +59,40 @@ def slow_bits(trees, texts, lang, data):
         n, t = sum(seen.values()), len(seen)
         return shorter if not n else seen[symbol] / (n + t) if symbol in seen else t / (n + t) * shorter
 
-    return sum(-math.log2(p(c if every.get(c := tuple(s[i - 3 : i]), 0) >= langid.MIN_CONTEXT else c[1:], s[i])) for i in range(3, len(s)))
+    s = [langid.START] * order + list(data)
+    return sum(-math.log2(p(tuple(s[i - order : i]), s[i])) for i in range(order, len(s)))
 
 
-def test_code_lengths():
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_code_lengths(order):
+    """Exact over all 256 byte values, also those that training never saw, and piece by piece."""
     rng = random.Random(1)
     texts = {lang: [text(rng, lang, 40).encode() for _ in range(5)] for lang in SYLLABLES}
-    trees = langid.ContextTrees(texts)
-    for t in (text(rng, "fr", 30), "zzz QQQ the", "é"):
+    texts["wide"] = ["".join(chr(rng.randrange(0x80, 0x9FFF)) for _ in range(300)).encode() for _ in range(3)]
+    trees = langid.ContextTrees(texts, order)
+    for t in (text(rng, "fr", 30), "zzz QQQ the", "é", "漢字仮名交じり文 \x00\x01🙂", "a"):
         data = np.frombuffer(t.encode(), np.uint8)
-        want = [slow_bits(trees, texts, lang, t.encode()) for lang in trees.langs]
-        assert trees.code_lengths(data) == pytest.approx(want, rel=1e-4)
-        assert trees.code_lengths(data, piece=7) == pytest.approx(want, rel=1e-4)
+        want = [slow_bits(texts[lang], t.encode(), order) for lang in trees.langs]
+        assert trees.code_lengths(data) == pytest.approx(want, rel=1e-9)
+        assert trees.code_lengths(data, piece=7) == pytest.approx(want, rel=1e-9)
+
+
+def test_letters_ties_and_long_texts(spark):
+    """Digits in a circle are no letters; equal languages go by code point; a long text counts to its end."""
+    rng = random.Random(3)
+    same = [text(rng, "en", 30) for _ in range(4)]
+    trees = langid.ContextTrees({"b": [t.encode() for t in same], "a": [t.encode() for t in same]})
+    rows = [(1, "²½①"), (2, "the"), (3, "1 2 3 !")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict_language(spark.createDataFrame(rows, "doc_id bigint, text string"), trees).collect()}
+    assert got == {1: ("und", 0.0), 2: ("a", 0.5), 3: ("und", 0.0)}
+    two = langid.ContextTrees({x: [text(rng, x, 200).encode()] for x in ("en", "fr")})
+    long = text(rng, "en", 100) + " " + text(rng, "fr", 60_000)
+    assert two.predict(long, np.frombuffer(long.encode(), np.uint8))[0] == "fr"
+
+
+def test_only_long_texts(spark):
+    """A language whose texts are all longer than the bound of the sample is learned from their beginnings."""
+    rng = random.Random(4)
+    rows = [(k, x, text(rng, x, 2000)) for k, x in enumerate(["en", "fr"] * 10)]
+    trees = langid.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), per_lang=3, max_bytes=1000)
+    assert trees.langs == ["en", "fr"]
