@@ -197,6 +197,8 @@ def salvage(data: bytes) -> Iterator[dict]:
     the end of a damaged member goes from the member's offset to the next record.
     """
     at, bad, why, end = 0, -1, "", len(data)
+    #: Where each mark stands next, so that no stretch is searched twice.
+    marks = {MAGIC: -1, VERSION: -1}
     while at < end:
         found: list[dict | str] = []
         size, failed = 0, ""
@@ -232,8 +234,11 @@ def salvage(data: bytes) -> Iterator[dict]:
             continue
         if bad < 0:
             bad, why = at, failed
-        nexts = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-        at = min(nexts, default=end)
+        for mark, there in marks.items():
+            if there <= at:
+                found_at = data.find(mark, at + 1)
+                marks[mark] = found_at if found_at >= 0 else end
+        at = min(marks.values())
     if bad >= 0:
         yield {"at": bad, "n_bytes": end - bad, "gap": why}
 
