@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.core.jscompat import JS_SPACE, let, round2, trim
@@ -130,3 +130,8 @@ def confidence(title: Column, content: Column, author: Column, publish_date: Col
         return F.struct(round2(s).alias("score"), level(s).alias("level"), f.alias("factors"), recommendation(s, f["title"], f["length"], f["metadata"]).alias("recommendation"))
 
     return let(factors, of)
+
+
+def filter_low_confidence(scored: DataFrame, threshold: float = 0.4, score: str = "score") -> DataFrame:
+    """Rows of ``scored`` whose score lies below the threshold, lowest first."""
+    return scored.where(F.col(score) < threshold).orderBy(score)

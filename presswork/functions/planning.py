@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.core.jscompat import round0
@@ -24,3 +24,10 @@ def url_priority(last_visited: Column, last_changed: Column, relevance: Column,
         F.when(changed, "Changed in last 24h"), F.when(relevance > 0.8, "High topic relevance"), F.when(is_hub, "Is a hub page"), F.when(depth > 3, "Deep URL"),
     )
     return F.struct(F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("bigint").alias("score"), F.filter(reasons, lambda r: r.isNotNull()).alias("reasons"))
+
+
+def rank_urls(urls: DataFrame, now: Column | None = None) -> DataFrame:
+    """``urls`` (UrlSignals) with score and reasons, highest score first, ties by url."""
+    p = url_priority(F.col("lastVisited"), F.col("lastChanged"), F.col("topicRelevance"), F.col("hubDepth"), F.col("isHub"), now)
+    scored = urls.withColumn("__p", p)
+    return scored.select(*urls.columns, "__p.score", "__p.reasons").orderBy(F.desc("score"), "url")

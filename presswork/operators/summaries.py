@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswork.core.storage import bounded_batches
 from presswork.functions.text import sentences, tokenize
 
 
@@ -23,26 +22,48 @@ class TextRankOptions:
     minSimilarity: float = 0.1
 
 
-def weights(tokens: list[list[str]], least: float) -> dict[tuple[int, int], float]:
-    """Directed weights: tokens of i, repeats counted, that occur in j, over both log lengths."""
-    counts = [Counter(t) for t in tokens]
-    shared: Counter = Counter()
-    where: dict[str, list[int]] = {}
-    for j, c in enumerate(counts):
-        for t in c:
-            where.setdefault(t, []).append(j)
-    for i, c in enumerate(counts):
-        for t, n in c.items():
-            for j in where[t]:
-                if i != j:
-                    shared[i, j] += n
-    out = {}
-    for (i, j), n in shared.items():
-        norm = math.log(len(tokens[i])) + math.log(len(tokens[j]))
-        w = n / norm if norm else 0.0
-        if w >= least:
-            out[i, j] = w
-    return out
+#: Entries of a block of the term matrix.
+BLOCK = 1 << 22
+
+
+def weights(tokens: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directed edges (i, j, weight): tokens of i, repeats counted, that occur in j, over both log lengths.
+
+    Products of a sentence-by-term matrix, in blocks of bounded size; terms of one
+    sentence make no edge and are left out.
+    """
+    n = len(tokens)
+    names: dict[str, int] = {}
+    term = np.array([names.setdefault(t, len(names)) for x in tokens for t in x], np.int64)
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    cell, times = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(names)) + term, return_counts=True)
+    row, column = np.divmod(cell, max(1, len(names)))
+    common = np.flatnonzero(np.bincount(column, minlength=len(names)) > 1)
+    place = np.full(len(names), -1)
+    place[common] = np.arange(len(common))
+    row, column, times = row[keep := place[column] >= 0], place[column[keep]], times[keep]
+    with np.errstate(divide="ignore"):
+        logs = np.log(sizes)
+    wide, high = max(1, BLOCK // max(1, n)), max(1, BLOCK // max(1, n))
+    found = []
+    for top in range(0, n, high):
+        end = min(n, top + high)
+        shared = np.zeros((end - top, n))
+        for left in range(0, len(common), wide):
+            inside = (column >= left) & (column < left + wide)
+            has = np.zeros((n, min(wide, len(common) - left)), np.float32)
+            has[row[inside], column[inside] - left] = 1
+            mine = inside & (row >= top) & (row < end)
+            own = np.zeros((end - top, has.shape[1]), np.float32)
+            own[row[mine] - top, column[mine] - left] = times[mine]
+            shared += own @ has.T
+        shared[np.arange(end - top), np.arange(top, end)] = 0
+        i, j = np.nonzero(shared)
+        norm = logs[i + top] + logs[j]
+        w = np.divide(shared[i, j], norm, out=np.zeros(len(i)), where=norm != 0)
+        ok = w >= least
+        found.append((i[ok] + top, j[ok], w[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def rank(tokens: list[list[str]], options: TextRankOptions) -> list[float]:
@@ -50,17 +71,11 @@ def rank(tokens: list[list[str]], options: TextRankOptions) -> list[float]:
     n = len(tokens)
     if n == 1:
         return [1.0]
-    edges = sorted(weights(tokens, options.minSimilarity).items(), key=lambda e: (e[0][1], e[0][0]))
-    source, target = (np.array([e[0][k] for e in edges], np.int64) for k in (0, 1))
-    w = np.array([e[1] for e in edges])
-    total = np.zeros(n)
-    for i, x in zip(source.tolist(), w.tolist(), strict=True):
-        total[i] += x
+    source, target, w = weights(tokens, options.minSimilarity)
+    share = w / np.bincount(source, w, minlength=n)[source]
     scores = np.ones(n)
     for _ in range(options.maxIterations):
-        new = np.full(n, 0.0)
-        np.add.at(new, target, w / total[source] * scores[source])
-        new = (1 - options.damping) + options.damping * new
+        new = (1 - options.damping) + options.damping * np.bincount(target, share * scores[source], minlength=n)
         moved = np.abs(new - scores).max(initial=0.0)
         scores = new
         if moved <= options.convergence:
@@ -69,27 +84,31 @@ def rank(tokens: list[list[str]], options: TextRankOptions) -> list[float]:
 
 
 def textrank(docs: DataFrame, options: TextRankOptions | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, rank, index, sentence, score) of every sentence, best first, ties by index.
+    """(key, rank, index, sentence, score) of every sentence, best first.
 
-    Documents are independent, so each is one step of a vectorised Python kernel.
+    Scores that agree to nine decimals tie, and ties go by index. Documents are
+    independent, so each is one step of a vectorised Python kernel.
     """
     options = options or TextRankOptions()
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     split = docs.select(F.col(key).alias("key"), sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
     ready = split.withColumn("t", F.transform("s", lambda x: tokenize(x, 2, True)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, ranks, places, said, scores = [], [], [], [], []
             for k in range(b.num_rows):
-                said, tokens = b.column("s")[k].as_py(), b.column("t")[k].as_py()
-                scores = rank(tokens, options)
-                order = sorted(range(len(said)), key=lambda i: (-scores[i], i))
-                key_column = pa.array([b.column("key")[k].as_py()] * len(said), b.schema.field("key").type)
-                yield pa.RecordBatch.from_arrays(
-                    [key_column, pa.array(range(1, len(said) + 1), pa.int32()), pa.array(order, pa.int32()), pa.array([said[i] for i in order]), pa.array([scores[i] for i in order], pa.float64())],
-                    ["key", "rank", "index", "sentence", "score"],
-                )
+                own, tokens = b.column("s")[k].as_py(), b.column("t")[k].as_py()
+                got = rank(tokens, options)
+                order = sorted(range(len(own)), key=lambda i: (-round(got[i], 9), i))
+                rows += [k] * len(own)
+                ranks += range(1, len(own) + 1)
+                places += order
+                said += [own[i] for i in order]
+                scores += [got[i] for i in order]
+            columns = [b.column("key").take(pa.array(rows, pa.int32())), pa.array(ranks, pa.int32()), pa.array(places, pa.int32()), pa.array(said, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "rank", "index", "sentence", "score"])
 
     return ready.mapInArrow(of, f"key {kind}, rank int, index int, sentence string, score double").withColumnRenamed("key", key)
 

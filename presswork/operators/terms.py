@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from presswork.core.numbering import numbered
+from presswork.core.storage import materialise
 from presswork.functions.text import stem, tokenize
 
 
@@ -48,28 +50,26 @@ def document_frequency(docs: DataFrame, text: str = "text", key: str = "doc_id")
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def keywords(docs: DataFrame, df: DataFrame, total: int, n: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keywords(docs: DataFrame, df: DataFrame | None = None, total: int | None = None, n: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, rank, word, score): the n stems with the highest TF-IDF, ties by first occurrence.
 
-    ``df`` may be as large as the vocabulary, so its join is left to the planner.
+    Texts are read once: their stems are counted into a written table, which also gives
+    the document frequencies where no ``df`` (term, df) is handed in. ``df`` may be as
+    large as the vocabulary, so its join is left to the planner.
     """
-    scored = term_frequency(occurrences(docs, stems(F.col(text)), key), key).join(df, "term", "left")
+    found = materialise(occurrences(docs, stems(F.col(text)), key), "stems")
+    df = found.groupBy("term").agg(F.count("*").alias("df")) if df is None else df
+    total = docs.count() if total is None else total
+    scored = term_frequency(found, key).join(df, "term", "left")
     scored = scored.withColumn("score", F.col("tf") * idf(F.lit(total), F.col("df")))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "first"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= n).select(key, "rank", F.col("term").alias("word"), "score")
 
 
 def vocabulary(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
-    """(term, index): terms numbered by first occurrence over documents in key order.
-
-    The numbering is dense: partitions sorted by first occurrence are counted, and each
-    adds the counts before it, so no task sees all terms.
-    """
+    """(term, index): terms numbered by first occurrence over documents in key order."""
     first = occurrences(docs, tokens, key).groupBy("term").agg(F.min(F.struct(key, "first")).alias("at"))
-    placed = first.repartitionByRange("at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
-    base = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("start"))
-    base = base.withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n"))
-    return placed.join(F.broadcast(base), "part").select("term", (F.col("id") - F.col("start") + F.col("before")).alias("index"))
+    return numbered(first, "at", "index", "vocabulary").select("term", "index")
 
 
 def similar_documents(docs: DataFrame, queries: DataFrame, n: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork import streaming
 from presswork.functions import classify, content, geo, hashing, planning, sentiment, text, vectors
+from presswork.functions.sql import register_sql
 from presswork.operators import fingerprints, places, series, summaries, terms
 from presswork.sources import table
 
@@ -389,7 +391,7 @@ def confidence(spark, sf_dir):
 
 @query(f"select page_id, score from ({CONFIDENCE}) where score < 0.7::double")
 def low_confidence(spark, sf_dir):
-    return confidence(spark, sf_dir).where(F.col("score") < 0.7).orderBy("score", "page_id").select("page_id", "score")
+    return content.filter_low_confidence(confidence(spark, sf_dir), 0.7).select("page_id", "score")
 
 
 # --- trends and anomalies ------------------------------------------------------------------
@@ -414,9 +416,32 @@ def trends(spark, sf_dir):
     return series.detect_trends(_daily(spark, sf_dir), sigma=1.0)
 
 
-@query(f"select topicId, zScore from ({TRENDS}) where isTrending or true")
+@query(f"select topicId, zScore from ({TRENDS.replace('z >= 1::double', 'z >= 0::double')}) where isTrending")
 def trending(spark, sf_dir):
-    return series.filter_trending(series.detect_trends(_daily(spark, sf_dir), sigma=-100.0)).select("topicId", "zScore")
+    return series.filter_trending(series.detect_trends(_daily(spark, sf_dir), sigma=0.0)).select("topicId", "zScore")
+
+
+@query(f"""
+with daily as (select event_type as topic, ts::date as d, count(*)::double as n from events group by all)
+select topic as "topicId", count(*) as n, {round2_sql('avg(n)')} as mean, {round2_sql('stddev_pop(n)')} as stddev from daily group by 1""")
+def baselines(spark, sf_dir):
+    b = _daily(spark, sf_dir).groupBy("topicId").agg(F.count("*").alias("n"), series.baseline(F.col("count")).alias("b"))
+    return b.select("topicId", "n", "b.mean", "b.stddev")
+
+
+@query(f"""
+with daily as (select event_type as topic, ts::date as d, count(*) as n from events group by all)
+select topic as "topicId", d::varchar as date, n as count, {round2_sql('coalesce(avg(n::double) over w, 0)')} as "baselineMean", {round2_sql('case when count(*) over w < 2 then 0::double else stddev_pop(n::double) over w end')} as "baselineStdDev"
+from daily window w as (partition by topic order by d rows between 7 preceding and 1 preceding)""")
+def sliding_baselines(spark, sf_dir):
+    return series.sliding_baseline(_daily(spark, sf_dir).drop("topicName"), 7)
+
+
+@query("select event_type as topicId, ts::date::timestamp as date, count(*) as count from events group by all")
+def streamed_counts(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", "ts").schema
+    # The last letter as a pattern, so that one file and a folder of files are both found.
+    return streaming.counted_so_far(spark, f"{sf_dir}/events.parque[t]", events, "event_type")
 
 
 POINTS = "(select event_type as series, ts::date as d, count(*)::double as value from events group by all)"
@@ -479,7 +504,7 @@ r as (select *, (row_number() over (partition by doc_id order by score desc, fir
 select doc_id, rank, term as word, {round2_sql('score')} as score from r where rank <= 10""")
 def keywords(spark, sf_dir):
     d = documents(spark, sf_dir)
-    k = terms.keywords(d, terms.document_frequency(d), d.count(), 10)
+    k = terms.keywords(d, n=10)
     return k.withColumn("score", F.floor(F.col("score") * 100 + F.lit(0.5)) / F.lit(100.0))
 
 
@@ -580,16 +605,23 @@ def city_hub_urls(spark, sf_dir):
     return places.predict_hub_urls(_places(spark, sf_dir), F.lit("https://news.example"), geo.CITY_PATTERNS).select("n_nationkey", "rank", "url", "weight")
 
 
-_SLUG_URLS = ("https://a.example/world/france?x=1", "https://a.example/world/france/", "https://a.example/uk", "https://a.example/tag/a-b#c", "not a url", "https://a.example/", "https://a.example/x/y/z", "http://a.example/news/Paris")
-_SLUGS = ("france", None, "uk", "a-b", None, None, None, "Paris")
+_HEADS = ("/world/", "/tag/", "/news/", "/", "/x/", "/world/x/", "/topics/", "/country/", "")
+_TAILS = ("", "/", "?x=1", "#c", "/more", "/?y#z")
+_SLUG_URLS = f"""(select p_partkey, case when p_partkey % 17 = 0 then 'not a url' else 'https://a.example' || [{', '.join(f"'{h}'" for h in _HEADS)}][p_partkey % {len(_HEADS)} + 1] || 'Place-' || p_partkey
+  || [{', '.join(f"'{t}'" for t in _TAILS)}][p_partkey // 10 % {len(_TAILS)} + 1] end as url from part)"""
+_SLUG_CASES = " ".join(
+    f"when regexp_full_match(path, '{p.replace('{slug}', '([^/]+)')}') then regexp_extract(path, '^{p.replace('{slug}', '([^/]+)')}$', 1)" for p, _ in geo.COUNTRY_PATTERNS if "{slug}" in p
+)
 
 
-@query(f"""with u as (select n_nationkey, n_nationkey % {len(_SLUG_URLS)} as k from nation)
-select n_nationkey, case k {' '.join(f"when {k} then " + (f"'{s}'" if s else "null") for k, s in enumerate(_SLUGS))} end as slug from u""")
+@query(f"""
+with u as (select p_partkey, case when regexp_matches(url, '^https://[^/?#]+') then regexp_extract(url, '^https://[^/?#]+([^?#]*)', 1) end as path from {_SLUG_URLS})
+select p_partkey, case {_SLUG_CASES} end as slug from (select p_partkey, case when path = '' then '/' else path end as path from u)""")
 def slug_from_url(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    url = F.get(F.array(*map(F.lit, _SLUG_URLS)), (F.col("n_nationkey") % len(_SLUG_URLS)).cast("int"))
-    return n.select("n_nationkey", geo.slug_from_url(url).alias("slug"))
+    k = F.col("p_partkey")
+    head, tail = (F.get(F.array(*map(F.lit, x)), i.cast("int")) for x, i in ((_HEADS, k % len(_HEADS)), (_TAILS, F.expr("p_partkey div 10") % len(_TAILS))))
+    url = F.when(k % 17 == 0, "not a url").otherwise(F.concat(F.lit("https://a.example"), head, F.lit("Place-"), k.cast("string"), tail))
+    return table(spark, sf_dir, "part").select(k, geo.slug_from_url(url).alias("slug"))
 
 
 @query(f"select n_nationkey, n_nationkey % 4 = 0 as covered from {PLACES}")
@@ -612,26 +644,62 @@ select page_id, url, greatest(0, least(100, 50 + case when seen < 1 then -30 whe
     case when rel > 0.8::double then 'High topic relevance' end, case when hub then 'Is a hub page' end, case when depth > 3 then 'Deep URL' end) as reasons from s"""
 
 
+def _url_signals(spark, sf_dir) -> DataFrame:
+    k, now = F.col("page_id"), 1_700_000_000
+    return table(spark, sf_dir, "pages").select(
+        k, "url", F.timestamp_seconds(now - (k * 37 % 400 - 2) * 3600).alias("lastVisited"), F.when(k % 3 == 0, F.timestamp_seconds(now - k % 60 * 3600)).alias("lastChanged"),
+        ((k % 11) / 10).alias("topicRelevance"), (k % 7).alias("hubDepth"), (k % 4 == 0).alias("isHub"),
+    )
+
+
 @query(PRIORITY)
 def url_priority(spark, sf_dir):
-    k, now = F.col("page_id"), 1_700_000_000
-    seen = F.timestamp_seconds(now - (k * 37 % 400 - 2) * 3600)
-    changed = F.when(k % 3 == 0, F.timestamp_seconds(now - k % 60 * 3600))
-    p = planning.url_priority(seen, changed, (k % 11) / 10, k % 7, k % 4 == 0, F.timestamp_seconds(F.lit(now)))
-    r = table(spark, sf_dir, "pages").select(k, "url", p.alias("p"))
+    c = F.col
+    p = planning.url_priority(c("lastVisited"), c("lastChanged"), c("topicRelevance"), c("hubDepth"), c("isHub"), F.timestamp_seconds(F.lit(1_700_000_000)))
+    r = _url_signals(spark, sf_dir).select("page_id", "url", p.alias("p"))
     return r.select("page_id", "url", "p.score", F.array_join("p.reasons", "|").alias("reasons"))
 
 
-@query(f"select page_id, url, score from ({PRIORITY}) order by score desc, page_id limit 100")
+@query(f"select page_id, url, score, reasons from ({PRIORITY})")
 def crawl_rank(spark, sf_dir):
-    return url_priority(spark, sf_dir).orderBy(F.desc("score"), "page_id").limit(100).select("page_id", "url", "score")
+    ranked = planning.rank_urls(_url_signals(spark, sf_dir), F.timestamp_seconds(F.lit(1_700_000_000)))
+    return ranked.select("page_id", "url", "score", F.array_join("reasons", "|").alias("reasons"))
+
+
+TEXTRANK = f"""
+with recursive s as (select doc_id, unnest(ss) as sentence, unnest(range(len(ss)))::int as i from (select doc_id, {SENTENCES} as ss from documents)),
+t as (select doc_id, i, unnest({tokens_sql('sentence', 2, True)}) as w from s),
+c as (select doc_id, i, w, count(*) as n from t group by all),
+z as (select doc_id, i, ln(sum(n)::double) as z from c group by all),
+h as (select a.doc_id, a.i, b.i as j, sum(a.n)::double as shared from c a join c b on a.doc_id = b.doc_id and a.w = b.w and a.i <> b.i group by all),
+e as (select h.doc_id, h.i, h.j, shared / (x.z + y.z) as w from h join z x on x.doc_id = h.doc_id and x.i = h.i join z y on y.doc_id = h.doc_id and y.i = h.j where x.z + y.z <> 0),
+p as materialized (select doc_id, i, j, w / sum(w) over (partition by doc_id, i) as p from e where w >= 0.1::double),
+walk(doc_id, i, it, score, done) as (
+  select doc_id, i, 0, 1::double, count(*) over (partition by doc_id) = 1 from s
+  union all
+  select doc_id, i, it + 1, new, max(abs(new - score)) over (partition by doc_id) <= 1e-4::double or it + 1 >= 100
+  from (
+    select a.doc_id, a.i, a.it, a.score, 0.15::double + 0.85::double * coalesce(g.got, 0) as new
+    from (select * from walk where not done) a
+    left join (select b.doc_id, p.j, sum(p.p * b.score) as got from walk b join p on p.doc_id = b.doc_id and p.i = b.i where not b.done group by all) g on g.doc_id = a.doc_id and g.j = a.i)),
+last as (select doc_id, i, arg_max(score, it) as score from walk group by all)
+select doc_id, (row_number() over (partition by doc_id order by round(score, 9) desc, i))::int as rank, i as index, sentence, floor(score * 10000 + 0.5::double) / 10000::double as score
+from last join s using (doc_id, i)"""
 
 
-@query()
+@query(TEXTRANK)
 def textrank(spark, sf_dir):
-    return summaries.textrank(documents(spark, sf_dir))
+    r = summaries.textrank(documents(spark, sf_dir))
+    return r.withColumn("score", F.floor(F.col("score") * 10_000 + F.lit(0.5)) / F.lit(10_000.0))
 
 
-@query()
+@query(f"select doc_id, index, sentence from ({TEXTRANK}) where rank <= 3")
 def summary(spark, sf_dir):
     return summaries.summarize(documents(spark, sf_dir), 3)
+
+
+@query(f"with {SIMHASH} select doc_id, simhash from sim")
+def simhash_in_sql(spark, sf_dir):
+    register_sql(spark)
+    documents(spark, sf_dir).select("doc_id", text.hash_tokens(F.col("text")).alias("tokens")).createOrReplaceTempView("presswork_tokens")
+    return spark.sql("select doc_id, simhash_of(tokens) as simhash from presswork_tokens")

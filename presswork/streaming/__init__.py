@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.core.storage import shared_dir
 from presswork.operators.series import trend_score, value_anomalous
 
 
@@ -20,4 +23,25 @@ def scored_counts(counts: DataFrame, baselines: DataFrame, sigma: float = 2.0) -
     return joined.withColumn("t", trend_score(F.col("count").cast("double"), F.col("mean"), F.col("stdDev"), sigma)).select(*counts.columns, "t.*")
 
 
-__all__ = ["scored_counts", "value_anomalous", "windowed_counts"]
+def counted_so_far(spark: SparkSession, path: str, schema: str, topic: str, time: str = "ts", width: str = "1 day") -> DataFrame:
+    """(topicId, date, count) of all Parquet files that ``path`` names by now, read as a stream to its end.
+
+    Every batch rewrites the table of totals in the shared folder; state and progress lie
+    there too, so a lost executor costs a batch.
+    """
+    at = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(schema).parquet(path)
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
+    totals = windowed_counts(events, topic, time, width, "3650 days")
+    written: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/totals-{number}")
+        written.append(f"{at}/totals-{number}")
+
+    query = totals.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    return spark.read.schema(totals.schema).parquet(written[-1]) if written else spark.createDataFrame([], totals.schema)
+
+
+__all__ = ["counted_so_far", "scored_counts", "value_anomalous", "windowed_counts"]

@@ -4,8 +4,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from presswork.core.numbering import numbered
+from presswork.core.storage import shared_dir
+from presswork.functions import content, planning
+from presswork.functions.sql import register_sql
 from presswork.functions.text import tokenize
 from presswork.operators import fingerprints, places, series, summaries, terms
+from presswork.operators.graph import components
 from presswork.streaming import scored_counts, windowed_counts
 
 
@@ -63,8 +68,10 @@ def greedy_model(rows, t):
     return groups
 
 
-@pytest.mark.parametrize("t", [0, 3])
-def test_group_articles(spark, t):
+@pytest.mark.parametrize(("t", "settled"), [(0, 500_000), (3, 500_000), (3, 0)])
+def test_group_articles(spark, monkeypatch, t, settled):
+    """Components in the kernel, and all of them in rounds."""
+    monkeypatch.setattr(fingerprints, "SETTLED", settled)
     rng = random.Random(t)
     rows = [(f"a{k}", f"{rng.choice([0, 0xFF]) ^ sum(1 << rng.randrange(12) for _ in range(3)):016x}", dt.datetime(2024, 1, 1 + rng.randrange(4)), k) for k in range(60)]
     df = spark.createDataFrame(rows, "id string, simHash string, publishedAt timestamp, ordinal bigint")
@@ -87,6 +94,85 @@ def test_trends(spark):
     assert (one["zScore"], one["percentChange"], one["isTrending"]) == (5.0, 100, True)
 
 
+def test_baselines(spark):
+    """Large counts keep their variance; the sliding baseline sees earlier dates only."""
+    big = 10**9
+    rows = [("t", "T", f"2024-01-{10 + k}", big + x) for k, x in enumerate((3, 1, 2, 4, 9))]
+    df = spark.createDataFrame(rows, "topicId string, topicName string, date string, count bigint")
+    got = series.detect_trends(df).first()
+    assert (got["baselineMean"], got["baselineStdDev"]) == (big + 2.5, 1.12)
+    b = df.where("count < 1000000009").agg(series.baseline(F.col("count")).alias("b")).first()["b"]
+    assert (b["mean"], b["stddev"]) == (big + 2.5, 1.12)
+    small = spark.createDataFrame([("t", f"d{k}", x) for k, x in enumerate((3, 1, 2, 4))], "topicId string, date string, count bigint")
+    got = [(r["baselineMean"], r["baselineStdDev"]) for r in series.sliding_baseline(small, 2).orderBy("date").collect()]
+    assert got == [(0.0, 0.0), (3.0, 0.0), (2.0, 1.0), (1.5, 0.5)]
+    order = [("a", "A", f"d{k}", x) for k, x in enumerate((1, 2, 3, 1))] + [("b", "B", f"d{k}", x) for k, x in enumerate((1, 2, 3, 9))]
+    assert [r["topicId"] for r in series.detect_trends(spark.createDataFrame(order, df.schema)).collect()] == ["b", "a"]
+
+
+def test_null_series(spark):
+    df = spark.createDataFrame([(None, "d1", 1.0), (None, "d2", 3.0)], "series string, date string, value double")
+    assert series.detect_anomalies(df).count() == 2 and series.anomaly_report(df).first()["mean"] == 2.0
+
+
+def test_components_and_numbers(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)] + [(300 + k, 301 + k) for k in range(40)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == want
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+    df = spark.range(500).select(((F.col("id") * 7919) % 1009).alias("x"))
+    got = numbered(df, "x", "k").collect()
+    assert [r["x"] for r in sorted(got, key=lambda r: r["k"])] == sorted(r["x"] for r in got) and {r["k"] for r in got} == set(range(500))
+
+
+def test_ranked_urls_and_low_confidence(spark):
+    rows = [("u1", None, None, 0.1, 1, False), ("u2", None, None, 1.0, 1, True), ("u0", None, None, 0.1, 1, False)]
+    df = spark.createDataFrame(rows, "url string, lastVisited timestamp, lastChanged timestamp, topicRelevance double, hubDepth int, isHub boolean")
+    got = planning.rank_urls(df).collect()
+    assert [r["url"] for r in got] == ["u2", "u0", "u1"] and "Is a hub page" in got[0]["reasons"]
+    scored = spark.createDataFrame([("a", 0.39), ("b", 0.4), ("c", 0.1)], "id string, score double")
+    assert [r["id"] for r in content.filter_low_confidence(scored).collect()] == ["c", "a"]
+
+
+def test_sql_functions(spark):
+    assert register_sql(spark) == ["simhash_of", "textrank_scores"]
+    r = spark.sql("select simhash_of(split('aa bb cc', ' ')) as h, simhash_of(cast(null as array<string>)) as z, textrank_scores(array(array('x'))) as t").first()
+    assert (r["h"], r["z"], r["t"]) == (simhash_model("aa bb cc"), "0" * 16, [1.0])
+
+
+def test_shared_folder_on_clusters(tmp_path):
+    """Without a shared folder a cluster is an error, not a folder of one machine."""
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+        def set(self, *_):
+            pass
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    Session.sparkContext.master = "local[4]"
+    assert shared_dir(Session()).startswith("file://")
+
+
 def test_anomalies(spark):
     rows = [("s", f"2024-01-0{k}", 10.0) for k in range(1, 7)] + [("s", "2024-01-07", 100.0), ("one", "2024-01-01", 5.0)]
     df = spark.createDataFrame(rows, "series string, date string, value double")
