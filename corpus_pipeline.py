@@ -4,6 +4,14 @@ Each stage reads what the one before wrote, works on all of it, and its decision
 effect: rejected documents go, of near duplicates one stays, repeated strings are cut
 out, and every document comes as often as the mix takes it. The last stage returns
 token ids.
+
+Defined cases, for every stage: an empty table gives an empty result; input columns
+beyond those of documents are dropped. Null, empty and short texts fail the quality rules.
+Rows that repeat id and text go through the rules row by row, and the near-dedup keeps
+one of them; rows of one id with other texts are documents of their own; rows without an
+id pass the near-dedup as they are, so the suffix dedup cuts what they share with any
+row. A text of which nothing is left has size 0, and the mix never takes it. A null
+source is a source of its own.
 """
 
 from __future__ import annotations
