@@ -47,3 +47,26 @@ def test_stages(spark, tmp_path):
     assert words_out == {i: n for i, _, _, n in want if n}
     assert len(out["sentencepiece"]) == len(out["mix_sources"]) and all(r["round_trip"] for r in out["sentencepiece"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out["sentencepiece"])
+
+
+def test_odd_rows(spark, tmp_path):
+    """Repeated rows, several texts under one id, null ids and extra columns, by row counts."""
+    rng = random.Random(18)
+    a, b, c = (". ".join(prose(rng, 14) for _ in range(9)) + "." for _ in range(3))
+    rows = [(1, a), (1, a), (5, a + " Tail."), (5, b), (None, c), (None, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, None, None, 1, 0.5, "x") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, p_quality double, size string")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        counts.append(sorted((r["doc_id"] or 0) for r in docs.collect()))
+    assert counts[0] == [0, 1, 1, 5, 5] and counts[1] == counts[2] == [0, 1, 5]
+    assert set(counts[4]) <= {0, 1, 5} and all(r["round_trip"] for r in docs.collect())
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(stage(spark, docs, "").schema).parquet(str(tmp_path / name))
+        assert docs.collect() == []
