@@ -381,11 +381,15 @@ class Verifier:
         m = m.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).select("band", "p", "q", "own", "rep", "label", "n", "sig", "bands", *columns)
         return m.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
 
-    def between(self, members: DataFrame) -> DataFrame:
-        """Links (a, b) between different labels of a bucket; ``members``: band, rep, label."""
+    def between(self, members: DataFrame) -> DataFrame | None:
+        """Links (a, b) between different labels of a bucket, None if no estimate is open; ``members``: band, rep, label."""
         signed = self._written(members.join(self.reps.select("rep", "n", "sig", "bands"), "rep"), "signed")
+        if signed.isEmpty():
+            return None
         named = self._dealt(signed).mapInArrow(_between(self.threshold, self.weighted, False), "a long, b long")
         active = self._written(named.distinct().select(F.col("a").alias("band"), F.col("b").alias("rep")), "active")
+        if active.isEmpty():
+            return None
         some = signed.join(active, ["band", "rep"]).join(self._sets(active.select("rep").distinct()), "rep")
         return self._written(self._dealt(some, "shingles").mapInArrow(_between(self.threshold, self.weighted, True), "a long, b long"), "links")
 
@@ -436,7 +440,7 @@ def _classes(docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     labelled = member.join(near, member["rep"] == near["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     more = verifier.between(labelled.join(mixed, "band").select("band", "rep", "label"))
-    group = components(links.union(more))
+    group = components(links.union(more)) if more is not None else near
     named = reps.select("rep", "doc_id").join(group, reps["rep"] == group["node"], "left").select("rep", "doc_id", F.coalesce("label", "rep").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = named.join(least, "label").select(F.col("rep").alias("node"), "class_id", "label")
@@ -449,7 +453,7 @@ def _classes(docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     bare = bare.join(bare.groupBy(F.col("doc_id").alias("__id")).agg(F.min("mark").alias("__mark")), F.col("doc_id") == F.col("__id"))
     bare = bare.select("doc_id", "mark", "rows", F.col("doc_id").alias("class_id"), (F.col("mark") == F.col("__mark")).alias("stays"))
     out = materialise(keyed.union(bare), "classes")
-    release(sketch, reps, met, member, near, group, *verifier.scratch)
+    release(sketch, reps, met, member, near, *([group] if group is not near else []), *verifier.scratch)
     return out
 
 
