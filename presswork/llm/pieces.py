@@ -11,8 +11,9 @@ that with the longest last piece.
 it is known, so the paths that can still win end in the next ``max_piece`` positions; as
 soon as all of them share a boundary, the ids before it are committed and forgotten.
 
-Where two neighbouring characters stand next to each other in no piece, all paths share
-the boundary between them whatever surrounds it. Windows between two such boundaries
+Where two neighbouring characters belong to families of characters that meet in no piece
+(letters, digits, punctuation), all paths share the boundary between them whatever
+surrounds it. Windows between two such boundaries
 (mostly words) are kept with their ids in a table of bounded size; what is not there goes
 through the stream.
 
@@ -32,7 +33,8 @@ import itertools
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,9 @@ UNIT = 64
 UNKNOWN_PENALTY = 10 * UNIT
 #: Characters that a stream takes at a time, and bytes that the windows of a task may keep.
 CHUNK = 1 << 14
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 FAR = 1 << 40
+_NOTHING: tuple[dict, int] = ({}, FAR)
 
 
 class Vocabulary:
@@ -60,16 +63,27 @@ class Vocabulary:
         self.byte_ids = byte_ids
         self.max_piece = max((len(p) for p in self.cost), default=1)
         self.unknown = max(self.cost.values(), default=0) + UNKNOWN_PENALTY
-        #: Cost of every piece; of what only begins one: FAR.
-        self.known = {p[:m]: FAR for p in self.cost for m in range(1, len(p))} | self.cost
         self.bytes_of = [n.encode() for n in names]
         for b, i in enumerate(byte_ids):
             self.bytes_of[i] = bytes([b])
         pairs = {(p[i], p[i + 1]) for p in self.cost for i in range(len(p) - 1)}
-        #: Characters that stand next to no other in any piece: boundaries on both sides of them.
-        self.apart = "".join(c for c in "\n\t\r.,;:!?|%$&*#\"'()-" if not any(c in x for x in pairs))
         #: Spaces begin pieces only, so a boundary stands before each run of them.
         self.spaces_lead = not any(b == SPACE and a != SPACE for a, b in pairs)
+        #: Characters that hang together by standing next to each other in pieces.
+        self.families = _families((a, b) for a, b in pairs if SPACE not in (a, b))
+
+    @cached_property
+    def trie(self) -> dict[str, tuple]:
+        """By character: (what may follow, cost of the piece that ends here, or FAR)."""
+        top: dict[str, tuple] = {}
+        for piece, cost in sorted(self.cost.items()):
+            level = top
+            for k, c in enumerate(piece, 1):
+                at = level.get(c)
+                if at is None or k == len(piece):
+                    at = level[c] = (at[0] if at else {}, cost if k == len(piece) else FAR)
+                level = at[0]
+        return top
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -92,11 +106,29 @@ class Vocabulary:
         return cls([(names[i], s) for i, s in zip(normal, costs, strict=True)], byte_ids, normal, names)
 
     def pattern(self) -> re.Pattern:
-        """Segments between which every path has a boundary."""
+        """Stretches between which every path has a boundary: runs of one family, with the spaces before them."""
         if not self.spaces_lead:
             return re.compile(r".+", re.S)
-        c = re.escape(self.apart)
-        return re.compile(rf"{SPACE}*[^{SPACE}{c}]+|[{c}]|{SPACE}+") if c else re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        runs = [f"[{''.join(map(re.escape, x))}]+" for x in self.families]
+        return re.compile(f"{SPACE}*(?:{'|'.join([*runs, f'[^{SPACE}]'])})|{SPACE}+", re.S)
+
+
+def _families(pairs: Iterable[tuple[str, str]]) -> list[list[str]]:
+    """Connected groups of two characters or more, the largest first."""
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    groups: dict[str, list[str]] = {}
+    for c in sorted(root):
+        groups.setdefault(find(c), []).append(c)
+    return sorted(groups.values(), key=lambda g: (-len(g), g))
 
 
 class Stream:
@@ -133,22 +165,23 @@ class Stream:
 
     def _expand(self, until: int) -> None:
         """Relax every piece that begins before ``until``; of equal sums the longest last piece stays."""
-        text, best, back = self.text, self.best, self.back
-        known, unknown, size = self.v.known.get, self.v.unknown, len(text)
+        text, best, back, size = self.text, self.best, self.back, len(self.text)
+        top, unknown = self.v.trie, self.v.unknown
         for i in range(self.done, until):
             here, k = best[i], i + 1
-            cost = known(text[i])
-            if cost is None or cost == FAR:
-                if here + unknown < best[k]:
-                    best[k], back[k] = here + unknown, i
-            while cost is not None:
-                total = here + cost
-                if total < best[k]:
-                    best[k], back[k] = total, i
+            level, cost = top.get(text[i], _NOTHING)
+            if cost == FAR:  # a character without a piece of its own
+                cost = unknown
+            while True:
+                if here + cost < best[k]:
+                    best[k], back[k] = here + cost, i
                 if k == size:
                     break
+                at = level.get(text[k])
+                if at is None:
+                    break
+                level, cost = at
                 k += 1
-                cost = known(text[i:k])
         self.done = until
 
     def _commit(self) -> None:

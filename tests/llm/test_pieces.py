@@ -1,6 +1,7 @@
 import os
 import random
 from array import array
+from functools import cache
 
 import pytest
 from hypothesis import given, settings
@@ -90,11 +91,15 @@ def test_real_texts(vocabulary):
     assert s.longest < 8 * vocabulary.max_piece
 
 
+@cache
+def loaded():
+    return pieces.Encoder(pieces.Vocabulary.load())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(text):
-    v = test_round_trip.__dict__.setdefault("v", pieces.Vocabulary.load())
-    e = test_round_trip.__dict__.setdefault("e", pieces.Encoder(v))
+    e = loaded()
     assert e.decode(ids(e.encode(text))) == text
 
 
