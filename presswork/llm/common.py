@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,22 @@ def giving_back(kernel: Callable) -> Callable:
     return of
 
 
+def join_aggregate(rows: DataFrame, aggregate: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of an aggregate by ``keys``, in a join whose hot keys can be split.
+
+    An aggregate is dealt by its keys already; a join on the same keys would reuse that,
+    and the engine splits a skewed join only where both sides are shuffled for it. As one
+    struct the keys are dealt anew. Null keys join nothing; other than inner joins must have
+    none.
+    """
+    mine = rows.withColumn("__join", F.struct(*keys))
+    theirs = aggregate.withColumn("__join", F.struct(*keys)).drop(*keys)
+    some = [F.col(k).isNotNull() for k in keys]
+    if how == "inner":
+        mine = mine.where(reduce(Column.__and__, some))
+    return mine.join(theirs, "__join", how).drop("__join")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import materialise, release
+from presswork.llm.common import join_aggregate, materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang neighbours on the smallest one; minima by an aggregate, so a hub is no single row."""
+    """Hang neighbours on the smallest one; minima by an aggregate and a join that can be split, so a hub is no single row or task."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(low, "u")
+    joined = join_aggregate(both, low, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

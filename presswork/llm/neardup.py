@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.common import bounded_batches, giving_back, materialise, release
+from presswork.llm.common import bounded_batches, giving_back, join_aggregate, materialise, release
 from presswork.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 25, 4
@@ -377,7 +377,7 @@ class Verifier:
         """Members of each bucket in blocks; every pair of blocks is a group of its own, so no task holds more than two."""
         blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        m = members.join(blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        m = join_aggregate(members, blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         m = m.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).select("band", "p", "q", "own", "rep", "label", "n", "sig", "bands", *columns)
         return m.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
 
@@ -424,7 +424,7 @@ def _classes(docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     reps = materialise(worded.join(first, ["rep", "doc_id", "mark"]).dropDuplicates(["rep"]), "reps")
     member = reps.select("rep", F.explode("bands").alias("band"))
     size = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    met = materialise(member.join(size, "band"), "members")
+    met = materialise(join_aggregate(member, size, "band"), "members")
     mass = met.groupBy("rep").agg(F.sum("size").alias("mass"))
     member = materialise(met.join(mass, "rep").select("band", "rep", "mass"), "ranked")
     centre = member.groupBy("band").agg(F.max(F.struct("mass", "rep")).alias("c")).select("band", F.col("c.rep").alias("b"))
@@ -433,21 +433,21 @@ def _classes(docs: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     apart = F.least("na", "nb") >= threshold * F.greatest("na", "nb") if not weighted else F.lit(True)
 
     verifier = Verifier(d, reps, threshold, weighted)
-    stars = member.select("band", F.col("rep").alias("a")).join(centre, "band").where("a <> b").select("a", "b").distinct()
+    stars = join_aggregate(member.select("band", F.col("rep").alias("a")), centre, "band").where("a <> b").select("a", "b").distinct()
     stars = stars.join(left, "a").join(right, "b").where(apart).select("a", "b", "x", "y")
     links = verifier.links(verifier.close(stars))
     near = components(links)
     labelled = member.join(near, member["rep"] == near["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    more = verifier.between(labelled.join(mixed, "band").select("band", "rep", "label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", F.lit(True).alias("mixed"))
+    more = verifier.between(join_aggregate(labelled, mixed, "band").select("band", "rep", "label"))
     group = components(links.union(more)) if more is not None else near
     named = reps.select("rep", "doc_id").join(group, reps["rep"] == group["node"], "left").select("rep", "doc_id", F.coalesce("label", "rep").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(least, "label").select(F.col("rep").alias("node"), "class_id", "label")
+    named = join_aggregate(named, least, "label").select(F.col("rep").alias("node"), "class_id", "label")
     keyed = one.where("n > 0").withColumn("node", F.xxhash64("key")).join(named, "node").select("doc_id", "mark", "rows", "class_id", "label")
-    chosen = keyed.groupBy(F.col("label").alias("__label")).agg(F.min(F.struct("doc_id", "mark")).alias("__first"))
+    chosen = keyed.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("__first"))
     stays = (F.col("doc_id") == F.col("__first.doc_id")) & (F.col("mark") == F.col("__first.mark"))
-    keyed = keyed.join(chosen, F.col("label") == F.col("__label")).select("doc_id", "mark", "rows", "class_id", stays.alias("stays"))
+    keyed = join_aggregate(keyed, chosen, "label").select("doc_id", "mark", "rows", "class_id", stays.alias("stays"))
     # Texts without words: one row of each id stays.
     bare = one.where("n = 0")
     bare = bare.join(bare.groupBy(F.col("doc_id").alias("__id")).agg(F.min("mark").alias("__mark")), F.col("doc_id") == F.col("__id"))

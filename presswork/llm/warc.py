@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm.common import bounded_batches
+from presswork.llm.common import bounded_batches, join_aggregate
 
 #: An empty gzip member (a fixed value).
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
@@ -90,7 +90,7 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     ).withColumns({"n_bytes": F.octet_length("payload").cast("bigint"), "digest": F.unhex(F.sha1("payload"))})
     small = F.col("n_bytes") < min_bytes
     top = p.where(~small).groupBy("digest").agg(F.max("page_id").alias("top"))
-    joined = p.join(top, "digest", "left")
+    joined = join_aggregate(p, top, "digest", how="left")
     return joined.select("page_id", "url", "payload", "n_bytes", F.when(~small, F.col("top")).alias("top"))
 
 
