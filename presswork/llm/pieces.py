@@ -49,8 +49,10 @@ SPACE = "▁"
 UNIT = 64
 #: Above the highest cost, for a character outside the vocabulary.
 UNKNOWN_PENALTY = 10 * UNIT
+#: Characters that are cut into a list of stretches at once.
+WHOLE = 1 << 16
 #: Characters that a stream takes at a time, and bytes that the windows of a task may keep.
-CHUNK = 1 << 14
+CHUNK = 1 << 10
 CACHE_BYTES = 64 << 20
 FAR = 1 << 40
 _NOTHING: tuple[dict, int] = ({}, FAR)
@@ -62,6 +64,8 @@ class Vocabulary:
         self.cost = dict(pieces)
         self.byte_ids = byte_ids
         self.max_piece = max((len(p) for p in self.cost), default=1)
+        if self.max_piece > 255:
+            raise ValueError("pieces of more than 255 characters")
         self.unknown = max(self.cost.values(), default=0) + UNKNOWN_PENALTY
         self.bytes_of = [n.encode() for n in names]
         for b, i in enumerate(byte_ids):
@@ -137,6 +141,9 @@ class Stream:
     A position is expanded once ``max_piece`` characters behind it are known. What lies
     ahead of the expanded ones is then at most ``max_piece`` positions, each with its best
     path so far; where all these paths share a boundary, the pieces before it are final.
+
+    Costs are kept for that window only. Of an expanded position that is not committed,
+    one byte stays: the length of the best path's last piece.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -147,34 +154,37 @@ class Stream:
 
     def _start(self) -> None:
         self.out = array("i")
-        #: What is not committed yet; by position: best cost, where its last piece begins.
+        #: What is not committed yet, and by position the length of its last piece.
         self.text = ""
+        self.back = bytearray(1)
+        #: Best costs from position ``done`` on; all before it are expanded.
         self.best: list[int] = [0]
-        self.back: list[int] = [0]
         self.done = 0
+        #: The paths are next compared when so many positions are expanded.
+        self.due = 0
 
     def feed(self, chunk: str) -> None:
         for k in range(0, len(chunk), CHUNK):
             part = chunk[k : k + CHUNK]
             self.text += part
             self.best += [FAR] * len(part)
-            self.back += [0] * len(part)
+            self.back += bytes(len(part))
             while len(self.text) - self.done >= 2 * self.v.max_piece:
                 self._expand(self.done + self.v.max_piece)
                 self._commit()
 
     def _expand(self, until: int) -> None:
         """Relax every piece that begins before ``until``; of equal sums the longest last piece stays."""
-        text, best, back, size = self.text, self.best, self.back, len(self.text)
+        text, best, back, size, start = self.text, self.best, self.back, len(self.text), self.done
         top, unknown = self.v.trie, self.v.unknown
-        for i in range(self.done, until):
-            here, k = best[i], i + 1
+        for i in range(start, until):
+            here, k = best[i - start], i + 1
             level, cost = top.get(text[i], _NOTHING)
             if cost == FAR:  # a character without a piece of its own
                 cost = unknown
             while True:
-                if here + cost < best[k]:
-                    best[k], back[k] = here + cost, i
+                if here + cost < best[k - start]:
+                    best[k - start], back[k] = here + cost, k - i
                 if k == size:
                     break
                 at = level.get(text[k])
@@ -182,37 +192,42 @@ class Stream:
                     break
                 level, cost = at
                 k += 1
+        del best[: until - start]
         self.done = until
 
     def _commit(self) -> None:
         """Take the pieces before the last boundary that all surviving paths share."""
         back, n = self.back, self.done
         self.longest = max(self.longest, n)
-        paths = {k for k in range(n, min(len(self.best), n + self.v.max_piece)) if self.best[k] < FAR}
+        if n < self.due:
+            return
+        paths = {n + k for k in range(min(len(self.best), self.v.max_piece)) if self.best[k] < FAR}
         while len(paths) > 1:
             k = max(paths)
             paths.remove(k)
-            paths.add(back[k])
+            paths.add(k - back[k])
         at = paths.pop()
+        # Paths that share nothing yet are compared again at twice the length, so comparing stays linear.
+        self.due = 0 if at else 2 * n
         if at:
             self._emit(at)
-            base = self.best[at]
             self.text, self.done = self.text[at:], n - at
-            self.best = [x - base if x < FAR else FAR for x in self.best[at:]]
-            self.back = [max(0, x - at) for x in back[at:]]
+            del back[:at]
 
     def _emit(self, at: int) -> None:
         ends = []
         while at:
-            ends.append((self.back[at], at))
-            at = self.back[at]
-        ids, text = self.v.ids, self.text
-        for i, k in reversed(ends):
-            name = ids.get(text[i:k])
+            ends.append(at)
+            at -= self.back[at]
+        ids, text, i = self.v.ids, self.text, 0
+        for k in reversed(ends):
+            piece = text[i:k]
+            name = ids.get(piece)
             if name is None:
-                self.out.extend(self.v.byte_ids[b] for b in text[i:k].encode("utf-8", "surrogatepass"))
+                self.out.extend(self.v.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
             else:
                 self.out.append(name)
+            i = k
 
     def close(self) -> array:
         """All ids; the text ends here, and the stream may take a new one."""
@@ -273,7 +288,7 @@ class Encoder:
                 part = part.replace(" ", SPACE)
             else:
                 part = SPACE + part.replace(" ", SPACE)
-            if len(part) <= CHUNK:
+            if len(part) <= WHOLE:
                 yield from self.pattern.findall(part)
             else:  # a match at a time, so a long text is no list of its stretches
                 yield from (m[0] for m in self.pattern.finditer(part))
