@@ -67,7 +67,7 @@ def test_language(texts):
     trees = langid.ContextTrees({"a": [texts[0][:20_000].encode()], "b": ["".join(rng.choice("xyzuvw ") for _ in range(20_000)).encode()]})
     data = np.frombuffer(texts[0].encode(), np.uint8)
     assert trees.predict(texts[0], data) == ("a", 1.0)
-    assert trees.code_lengths(data) == pytest.approx(trees.code_lengths(data, piece=1 << 22), rel=1e-12)
+    assert trees.code_lengths(data) == pytest.approx(trees.code_lengths(data, piece=1 << 22), rel=1e-10)
 
 
 def test_counts(spark, docs, texts):
