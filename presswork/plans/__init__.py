@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork import streaming
+from presswork.core import contracts
 from presswork.functions import classify, content, geo, hashing, planning, sentiment, text, vectors
 from presswork.functions.sql import register_sql
 from presswork.operators import fingerprints, places, series, summaries, terms
@@ -703,3 +704,17 @@ def simhash_in_sql(spark, sf_dir):
     register_sql(spark)
     documents(spark, sf_dir).select("doc_id", text.hash_tokens(F.col("text")).alias("tokens")).createOrReplaceTempView("presswork_tokens")
     return spark.sql("select doc_id, simhash_of(tokens) as simhash from presswork_tokens")
+
+
+@query("""
+with s as (select page_id, case when page_id % 5 = 0 then 'no url' else url end as url, page_id % 9 - 1 as visits, (page_id % 13) / 10::double as rel, page_id % 4 - 1 as depth, page_id % 11 = 0 as unseen from pages),
+f as (select page_id, concat_ws(',', case when not coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:.+'), false) then 'url' end, case when visits < 0 then 'visits' end, case when unseen then 'lastVisited' end,
+  case when rel > 1 then 'topicRelevance' end, case when depth < 0 then 'hubDepth' end) as reason from s)
+select page_id, reason from f where reason <> ''""")
+def contract_violations(spark, sf_dir):
+    k = F.col("page_id")
+    urls = table(spark, sf_dir, "pages").select(
+        k, F.when(k % 5 == 0, "no url").otherwise(F.col("url")).alias("url"), (k % 9 - 1).alias("visits"), F.when(k % 11 != 0, F.timestamp_seconds(F.lit(1_700_000_000))).alias("lastVisited"),
+        ((k % 13) / 10).alias("topicRelevance"), (k % 4 - 1).alias("hubDepth"),
+    )
+    return contracts.validate(urls, "UrlSignals")[1].select("page_id", "reason")
