@@ -22,14 +22,14 @@ class TextRankOptions:
     minSimilarity: float = 0.1
 
 
-#: Entries of a block of the term matrix.
+#: Entries of a block of the weight matrix, and meetings that are summed at a time.
 BLOCK = 1 << 22
 
 
 def weights(tokens: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directed edges (i, j, weight): tokens of i, repeats counted, that occur in j, over both log lengths.
 
-    Products of a sentence-by-term matrix, in blocks of bounded size; terms of one
+    Sums over the sentences that share a term, in blocks of bounded size; terms of one
     sentence make no edge and are left out.
     """
     n = len(tokens)
@@ -44,19 +44,27 @@ def weights(tokens: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarr
     row, column, times = row[keep := place[column] >= 0], place[column[keep]], times[keep]
     with np.errstate(divide="ignore"):
         logs = np.log(sizes)
-    wide, high = max(1, BLOCK // max(1, n)), max(1, BLOCK // max(1, n))
+    # The sentences of each term stand together; a cell meets all sentences of its term.
+    by_term = np.argsort(column, kind="stable")
+    sentences_of, many = row[by_term], np.bincount(column, minlength=len(common))
+    begin = np.cumsum(many) - many
     found = []
+    high = max(1, BLOCK // max(1, n))
     for top in range(0, n, high):
         end = min(n, top + high)
-        shared = np.zeros((end - top, n))
-        for left in range(0, len(common), wide):
-            inside = (column >= left) & (column < left + wide)
-            has = np.zeros((n, min(wide, len(common) - left)), np.float32)
-            has[row[inside], column[inside] - left] = 1
-            mine = inside & (row >= top) & (row < end)
-            own = np.zeros((end - top, has.shape[1]), np.float32)
-            own[row[mine] - top, column[mine] - left] = times[mine]
-            shared += own @ has.T
+        shared = np.zeros((end - top) * n)
+        cells = np.flatnonzero((row >= top) & (row < end))
+        ends = np.cumsum(many[column[cells]])
+        at = 0
+        while at < len(cells):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+            part = cells[at:stop]
+            size = many[column[part]]
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            other = sentences_of[np.repeat(begin[column[part]], size) + inside]
+            shared += np.bincount(np.repeat((row[part] - top) * n, size) + other, np.repeat(times[part], size), minlength=len(shared))
+            at = stop
+        shared = shared.reshape(end - top, n)
         shared[np.arange(end - top), np.arange(top, end)] = 0
         i, j = np.nonzero(shared)
         norm = logs[i + top] + logs[j]
