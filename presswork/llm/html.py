@@ -28,6 +28,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -44,7 +45,8 @@ CONSTANT = 0.8
 LEAST = 4
 #: Share of nodes (of both trees) that match in skeletons of one layout.
 ALIKE = 0.6
-#: Commonest skeletons of a host that may give a layout to others, and skeletons per group that are matched with them.
+#: Commonest skeletons of a host that give its layouts in the first round (twice as many in the next), and
+#: skeletons per group that are matched with them.
 LEADERS, DEALT = 64, 1024
 
 # Element kinds of HTML, and words in class and id that name page furniture.
@@ -298,8 +300,8 @@ class Layouts:
             stack += [(c, at) for c in n.children]
         for k, (leader, its) in enumerate(self.leaders):
             need = ALIKE * (paths.total() + its.total()) / 2
-            # Matched nodes have equal paths, which bounds the match from above.
-            if (paths & its).total() >= need and matching(leader, t, {}) >= need:
+            # Matched nodes have equal paths, which bounds the match from above, as does the smaller tree.
+            if min(paths.total(), its.total()) >= need and (paths & its).total() >= need and matching(leader, t, {}) >= need:
                 return k, (t, paths)
         return None, (t, paths)
 
@@ -353,56 +355,72 @@ def _leaders(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["n", "skeleton"], ascending=[False, True])
     found = layouts(group["skeleton"].tolist())
     first = [k for k, x in enumerate(found) if x not in found[:k]]
-    return pd.DataFrame({"host": group["host"].iloc[first].tolist(), "level": range(len(first)), "skeleton": group["skeleton"].iloc[first].tolist()})
+    return pd.DataFrame({"level": range(len(first))} | {c: group[c].iloc[first].tolist() for c in ("host", "shape", "skeleton")})
 
 
 def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Skeletons behind the leaders of their host: to the leader they match, or to a layout of their own."""
-    key, known = None, Layouts()
+    """Skeletons to the leader of their host that they match; those that match none keep their text and have no level."""
+    key, known, names = None, Layouts(), []
     for b in batches:
         out = []
         for host, salt, level, shape, n, made in zip(*(b.column(c).to_pylist() for c in ("host", "salt", "level", "shape", "n", "skeleton")), strict=True):
             if (host, salt) != key:
-                key, known = (host, salt), Layouts()
+                key, known, names = (host, salt), Layouts(), []
             k, new = known.find(made)
             if level is not None:
                 known.leaders.append(new)
+                names.append(shape)
             else:
-                out.append((host, shape, n, [-1, shape if k is None else k]))
-        columns = zip(*out, strict=True) if out else ((), (), (), ())
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "shape", "n", "levels"])
+                out.append((host, shape, n, *((None, made) if k is None else (names[k], None))))
+        columns = zip(*out, strict=True) if out else ((), (), (), (), ())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "shape", "n", "level", "skeleton"])
 
 
-def levels_of(shapes: DataFrame) -> DataFrame:
-    """(host, shape, n, levels): the host as a whole (-1) and the layout of every skeleton.
-
-    A host's ``LEADERS`` commonest skeletons are matched among themselves and give its
-    layouts. All others are matched with these, in groups of at most some ``DEALT``; what
-    matches none is a layout of its own. So no task grows with a host.
-    """
+def _round(shapes: DataFrame, most: int) -> DataFrame:
+    """``shapes`` with the layout (its leader's shape) of those that match one of the ``most`` commonest of their host."""
     order = W.partitionBy("host").orderBy(F.desc("n"), "skeleton")
-    common = shapes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("host", "n", "skeleton")
-    leaders = materialise(common.groupBy("host").applyInPandas(_leaders, "host string, level long, skeleton string"), "leaders")
+    common = shapes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("host", "shape", "n", "skeleton")
+    leaders = materialise(common.groupBy("host").applyInPandas(_leaders, "host string, level long, shape long, skeleton string"), "leaders")
     salts = shapes.groupBy("host").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("salts"))
     salts = materialise(salts, "salts")
     many = leaders.join(salts, "host").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     none = F.lit(None).cast("bigint")
-    many = many.select("host", "salt", "level", none.alias("shape"), none.alias("n"), "skeleton")
+    many = many.select("host", "salt", "level", "shape", none.alias("n"), "skeleton")
     rest = shapes.join(salts, "host").select("host", F.pmod("shape", "salts").cast("int").alias("salt"), none.alias("level"), "shape", "n", "skeleton")
     dealt = many.union(rest).repartition("host", "salt").sortWithinPartitions("host", "salt", F.asc_nulls_last("level"))
-    out = materialise(dealt.mapInArrow(giving_back(_assigned), "host string, shape long, n long, levels array<long>"), "layouts")
+    out = materialise(dealt.mapInArrow(giving_back(_assigned), "host string, shape long, n long, level long, skeleton string"), "layouts")
     release(leaders, salts)
     return out
 
 
+def levels_of(shapes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(host, shape, n, levels): the host as a whole (-1) and the layout of every skeleton; and the tables behind it.
+
+    A host's ``LEADERS`` commonest skeletons are matched among themselves and give its
+    first layouts. All others are matched with these, in groups of at most some ``DEALT``,
+    so no task grows with a host. What matches none goes into another round, whose
+    commonest give the next layouts, until every skeleton has one: that of the first
+    leader it matches in the order of all skeletons by commonness, as ``layouts`` finds it.
+    """
+    done, most = [], LEADERS
+    while True:
+        done.append(_round(shapes, most))
+        shapes = done[-1].where("level is null").select("host", "shape", "n", "skeleton")
+        if shapes.isEmpty():
+            break
+        most = min(2 * most, max(LEADERS, DEALT))
+    rounds = [x.where("level is not null").select("host", "shape", "n", F.array(F.lit(-1).cast("bigint"), "level").alias("levels")) for x in done]
+    return reduce(DataFrame.union, rounds), done
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, sure, doubtful) from all pages; the marks as texts joined by commas."""
     read = pages.where("html is not null").withColumn("host", host()).select("host", "html")
     once = read.mapInArrow(giving_back(_evidence), "host string, skeleton string, marks array<long>").distinct()
     pages = materialise(once.withColumn("shape", F.xxhash64("skeleton")), "evidence")
     shapes = materialise(pages.groupBy("host", "shape", "skeleton").agg(F.count("*").alias("n")), "shapes")
-    levels = levels_of(shapes)
+    levels, rounds = levels_of(shapes)
     hint = F.broadcast if levels.count() <= BROADCAST_ROWS else lambda x: x
     whole = levels.select("host", "n", F.explode("levels").alias("level")).groupBy("host", "level").agg(F.sum("n").alias("pages")).where("pages > 1")
     marks = pages.join(hint(levels.select("host", "shape", "levels")), ["host", "shape"]).select("host", F.explode("levels").alias("level"), "marks")
@@ -411,7 +429,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     template = template.groupBy("host", "mark").agg(F.max(F.col("pages") >= LEAST).alias("sure"))
     one = [F.array_join(F.sort_array(F.collect_list(F.when(x, F.col("mark")))), ",").alias(name) for x, name in ((F.col("sure"), "sure"), (~F.col("sure"), "doubtful"))]
     out = materialise(template.groupBy("host").agg(*one), "wrappers")
-    release(pages, shapes, levels)
+    release(pages, shapes, *rounds)
     return out
 
 

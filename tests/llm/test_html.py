@@ -147,3 +147,31 @@ def test_many_layouts_of_a_host(spark, monkeypatch):
             want[10 * kind + k] = " ".join(body)
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == want
+
+
+def test_layouts_beyond_the_leaders(spark, monkeypatch):
+    """Layouts that no common skeleton stands for still gather their pages: as the search through all skeletons in order."""
+    monkeypatch.setattr(html, "LEADERS", 2)
+    monkeypatch.setattr(html, "DEALT", 3)
+    rng = random.Random(10)
+    pages = []
+    for kind in "abcdefg":
+        for _ in range(6):
+            parts = [f"<div class={kind}{x}><p>t</div>" for x in "pqrstuvwxy" if rng.random() < 0.85]
+            pages += [f"<section class={kind}>{''.join(parts)}</section>"] * rng.randint(1, 3)
+    made = [(f"h{k % 2}", html.skeleton(html.parse(x))) for k, x in enumerate(sorted(pages))]
+    shapes = spark.createDataFrame(made, "host string, skeleton string").groupBy("host", "skeleton").count()
+    shapes = shapes.select("host", html.F.xxhash64("skeleton").alias("shape"), "skeleton", html.F.col("count").alias("n"))
+    want = set()
+    rows = shapes.collect()
+    for host in ("h0", "h1"):
+        own = sorted((r for r in rows if r["host"] == host), key=lambda r: (-r["n"], r["skeleton"]))
+        found = html.layouts([r["skeleton"] for r in own])
+        want |= {(host, frozenset(r["shape"] for r, x in zip(own, found, strict=True) if x == k)) for k in set(found)}
+    assert len(want) > 8
+    levels, _ = html.levels_of(shapes)
+    got: dict = {}
+    for r in levels.collect():
+        assert r["levels"][0] == -1
+        got.setdefault((r["host"], r["levels"][1]), set()).add(r["shape"])
+    assert {(host, frozenset(x)) for (host, _), x in got.items()} == want
