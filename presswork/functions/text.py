@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.core.jscompat import let, trim
@@ -14,8 +14,19 @@ STOPWORDS = tuple(
 )
 
 
-def _split(text: Column, odd: str) -> Column:
-    return F.split(F.regexp_replace(text, odd, " "), r"\s+")
+_DIGITS = "0123456789_"
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _runs(text: Column, characters: str, least: int) -> Column:
+    """The runs of ``characters`` that are ``least`` long.
+
+    Every character is named: Java's engine looks them up in one table of bits, where
+    ranges and negations are a chain of calls for each character of the text.
+    """
+    if least < 1:  # an empty one stands where a text begins or ends with other characters
+        return F.split(text, f"[^{characters}]+")
+    return F.regexp_extract_all(text, F.lit(f"[{characters}]{{{least},}}+"), F.lit(0))
 
 
 def stopword_array() -> Column:
@@ -25,15 +36,16 @@ def stopword_array() -> Column:
 def tokenize(text: Column, min_length: int = 2, remove_stopwords: bool = False, lowercase: bool = True) -> Column:
     """Words of ASCII letters, digits, ``_ ' -``; anything else separates. Null text: none."""
     t = F.coalesce(text, F.lit(""))
-    parts = _split(F.lower(t) if lowercase else t, r"[^A-Za-z0-9_\s'-]")
+    letters = _LOWER if lowercase else _LOWER + _LOWER.upper()
+    words = _runs(F.lower(t) if lowercase else t, letters + _DIGITS + r"'\-", min_length)
     if not remove_stopwords:
-        return F.filter(parts, lambda w: F.length(w) >= min_length)
-    return F.filter(parts, lambda w: (F.length(w) >= min_length) & ~F.lower(w).isin(*STOPWORDS))
+        return words
+    return F.filter(words, lambda w: ~(w if lowercase else F.lower(w)).isin(*STOPWORDS))
 
 
 def hash_tokens(text: Column) -> Column:
     """Tokens of the fingerprint: ``'`` and ``-`` separate too, two characters at least."""
-    return F.filter(_split(F.lower(F.coalesce(text, F.lit(""))), r"[^A-Za-z0-9_\s]"), lambda w: F.length(w) >= 2)
+    return _runs(F.lower(F.coalesce(text, F.lit(""))), _LOWER + _DIGITS, 2)
 
 
 def sentences(text: Column) -> Column:
@@ -59,25 +71,38 @@ def is_likely_english(text: Column) -> Column:
     return let(tokenize(text), share)
 
 
-def stem(word: Column) -> Column:
-    """Three chained suffix steps; words under three characters stay."""
+def _cut(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
 
-    def cut(w: Column, n: int) -> Column:
-        return F.substring(w, F.lit(1), F.length(w) - n)
+def _plural(w: Column) -> Column:
+    return F.when(w.endswith("sses") | w.endswith("ies"), _cut(w, 2)).when(w.endswith("ss"), w).when(w.endswith("s"), _cut(w, 1)).otherwise(w)
 
-    def plural(w: Column) -> Column:
-        return F.when(w.endswith("sses") | w.endswith("ies"), cut(w, 2)).when(w.endswith("ss"), w).when(w.endswith("s"), cut(w, 1)).otherwise(w)
 
-    def ending(w: Column) -> Column:
-        n = F.length(w)
-        return (
-            F.when(w.endswith("eed"), F.when(n > 4, cut(w, 1)).otherwise(w))
-            .when(w.endswith("ed"), F.when(w.contains("at") | (n > 4), cut(w, 2)).otherwise(w))
-            .when(w.endswith("ing"), F.when(n > 5, cut(w, 3)).otherwise(w))
-            .otherwise(w)
-        )
+def _ending(w: Column) -> Column:
+    n = F.length(w)
+    return (
+        F.when(w.endswith("eed"), F.when(n > 4, _cut(w, 1)).otherwise(w))
+        .when(w.endswith("ed"), F.when(w.contains("at") | (n > 4), _cut(w, 2)).otherwise(w))
+        .when(w.endswith("ing"), F.when(n > 5, _cut(w, 3)).otherwise(w))
+        .otherwise(w)
+    )
+
+
+def _final(w: Column) -> Column:
+    consonant = (F.length(w) > 1) & ~F.substring(w, -2, 1).isin(*"aeiou")
+    return F.when(w.endswith("y") & consonant, F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+
+
+def stem(word: Column) -> Column:
+    """Three chained suffix steps; words under three characters stay."""
+    return F.when(F.length(word) < 3, word).otherwise(let(let(_plural(word), _ending), _final))
 
-    def final(w: Column) -> Column:
-        return F.when(w.rlike(r"[^aeiou]y\z"), F.concat(cut(w, 1), F.lit("i"))).otherwise(w)
 
-    return F.when(F.length(word) < 3, word).otherwise(let(let(plural(word), ending), final))
+def stem_column(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the words of column ``name`` stemmed as by :func:`stem`, one projection a step."""
+    short = F.length(name) < 3
+    df = df.withColumn("__short", short).withColumn(name, F.when(F.col("__short"), F.col(name)).otherwise(_plural(F.col(name))))
+    for step in (_ending, _final):
+        df = df.withColumn(name, F.when(F.col("__short"), F.col(name)).otherwise(step(F.col(name))))
+    return df.drop("__short")

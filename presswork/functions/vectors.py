@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presswork.core.jscompat import let
+
 
 def _checked(a: Column, b: Column, value: Column, strict: bool) -> Column:
     odd = F.raise_error(F.lit("Vectors must have the same length")).cast("double") if strict else F.lit(None).cast("double")
@@ -38,10 +40,12 @@ def euclidean(a: Column, b: Column, strict: bool = True) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of the sets of two arrays; two empty ones are equal."""
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    return let(F.array_union(a, b), lambda either: F.when(F.size(either) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(either)))
 
 
 def bag_of_words(tokens: Column, vocabulary: Column) -> Column:
-    """How often each word of ``vocabulary``, in its order, occurs in ``tokens``."""
-    return F.transform(vocabulary, lambda v: F.size(F.filter(tokens, lambda t: t == v)).cast("bigint"))
+    """How often each word of ``vocabulary``, in its order, occurs in ``tokens``.
+
+    The tokens are bound first: inside the lambda they would be made once for every word.
+    """
+    return let(tokens, lambda found: F.transform(vocabulary, lambda v: F.size(F.filter(found, lambda t: t == v)).cast("bigint")))

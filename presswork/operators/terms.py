@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 
 from presswork.core.numbering import numbered
 from presswork.core.storage import materialise
-from presswork.functions.text import stem, tokenize
+from presswork.functions.text import stem, stem_column, tokenize
 
 
 def occurrences(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
     """(key, term, n, first): how often and where first each term stands in a document."""
-    each = docs.select(key, F.posexplode(tokens).alias("pos", "term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return _counted(_placed(docs, tokens, key), key)
+
+
+def _placed(docs: DataFrame, tokens: Column, key: str) -> DataFrame:
+    """(key, pos, term) of every token, dealt by key.
+
+    Texts are shuffled, and not the far larger rows of their tokens: what follows by key,
+    or by key and term, needs no further shuffle.
+    """
+    return docs.repartition(key).select(key, F.posexplode(tokens).alias("pos", "term"))
+
+
+def _counted(placed: DataFrame, key: str) -> DataFrame:
+    return placed.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+
+
+def stem_occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """:func:`occurrences` of :func:`stems`; the steps are columns of rows, which stay in generated code."""
+    return _counted(stem_column(_placed(docs, tokenize(F.col(text), 3, remove_stopwords=True), key), "term"), key)
 
 
 def word_frequency(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
@@ -57,10 +74,10 @@ def keywords(docs: DataFrame, df: DataFrame | None = None, total: int | None = N
     the document frequencies where no ``df`` (term, df) is handed in. ``df`` may be as
     large as the vocabulary, so its join is left to the planner.
     """
-    found = materialise(occurrences(docs, stems(F.col(text)), key), "stems")
+    found = materialise(term_frequency(stem_occurrences(docs, text, key), key), "stems")
     df = found.groupBy("term").agg(F.count("*").alias("df")) if df is None else df
     total = docs.count() if total is None else total
-    scored = term_frequency(found, key).join(df, "term", "left")
+    scored = found.join(df, "term", "left")
     scored = scored.withColumn("score", F.col("tf") * idf(F.lit(total), F.col("df")))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "first"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= n).select(key, "rank", F.col("term").alias("word"), "score")
@@ -68,7 +85,8 @@ def keywords(docs: DataFrame, df: DataFrame | None = None, total: int | None = N
 
 def vocabulary(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
     """(term, index): terms numbered by first occurrence over documents in key order."""
-    first = occurrences(docs, tokens, key).groupBy("term").agg(F.min(F.struct(key, "first")).alias("at"))
+    each = docs.select(key, F.posexplode(tokens).alias("first", "term"))
+    first = each.groupBy("term").agg(F.min(F.struct(key, "first")).alias("at"))
     return numbered(first, "at", "index", "vocabulary").select("term", "index")
 
 

@@ -488,7 +488,7 @@ OCC = f"occ as (select doc_id, unnest(t) as term, unnest(range(len(t))) as pos f
 
 @query(f"with {OCC} select doc_id, term, {round2_sql('0.5::double + 0.5::double * n / max(n) over (partition by doc_id)')} as tf from c")
 def term_frequency(spark, sf_dir):
-    tf = terms.term_frequency(terms.occurrences(documents(spark, sf_dir), terms.stems(F.col("text"))))
+    tf = terms.term_frequency(terms.stem_occurrences(documents(spark, sf_dir)))
     return tf.select("doc_id", "term", (F.floor(F.col("tf") * 100 + F.lit(0.5)) / F.lit(100.0)).alias("tf"))
 
 
@@ -540,7 +540,7 @@ def vector_metrics(spark, sf_dir):
 @query(f"""with t as (select doc_id, list_distinct({tokens_sql('text')}) as t from documents)
 select a.doc_id, case when len(a.t) + len(b.t) = 0 then 1::double else len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double end as jaccard from t a join t b on b.doc_id = a.doc_id + 1""")
 def jaccard(spark, sf_dir):
-    t = documents(spark, sf_dir).select("doc_id", text.tokenize(F.col("text")).alias("a"))
+    t = documents(spark, sf_dir).select("doc_id", F.array_distinct(text.tokenize(F.col("text"))).alias("a"))
     p = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
     return p.select("doc_id", vectors.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 

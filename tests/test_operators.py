@@ -236,3 +236,32 @@ def test_streaming(spark, tmp_path):
     got = spark.table("scored").collect()
     assert got and all(r["count"] == 5 for r in got)
     assert {r["topicId"]: r["zScore"] for r in got} == {"t0": 3.0, "t1": 0.0}
+
+
+
+def test_terms_shuffle_texts_once_and_not_their_tokens(spark):
+    d = spark.createDataFrame([(1, "aa bb aa"), (2, "cc"), (1, "bb dd bb")], "doc_id long, text string")
+    for df in (terms.term_frequency(terms.stem_occurrences(d)), terms.top_words(d, 2), terms.word_frequency(d)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1
+        assert plan.index("Exchange ") > plan.index("Generate ")  # the shuffle is below the explode
+    assert sorted(map(tuple, terms.word_frequency(d).collect())) == [(1, "aa", 2), (1, "bb", 3), (1, "dd", 1), (2, "cc", 1)]
+
+
+def test_bag_of_words_makes_tokens_once_per_row(spark):
+    from presswork.functions import vectors
+
+    d = spark.createDataFrame([(1, "aa bb aa")], "doc_id long, text string")
+    v = d.select(vectors.bag_of_words(tokenize(F.col("text")), F.array(F.lit("aa"), F.lit("bb"), F.lit("zz"))).alias("v"))
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in plan and "regexp" not in plan[plan.index("lambdafunction(") :]
+    assert v.collect()[0]["v"] == [2, 1, 0]
+
+
+def test_jaccard_shuffles_distinct_tokens(spark, tmp_path):
+    from presswork.plans import QUERIES
+
+    spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc bb"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    j = QUERIES["jaccard"](spark, str(tmp_path))
+    assert "array_distinct" in j._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, j.collect())) == [(1, 1 / 3), (2, 0.0)]

@@ -70,3 +70,25 @@ def test_stem(spark, one):
         assert [r["s"] for r in rows] == [stem_model(r["t"]) for r in rows]
 
     check()
+
+
+def test_runs_are_what_replacing_and_splitting_gave(spark):
+    odd = ["", " ", "A-b_c'd  e", "KKlvİn Été naïve", "a bb\x0bcc\x1fdd ee", "\U0001f600xx\U0001f600", "-- '' __ 9", "x.y,zz;Aa", None, " lead", "trail "]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    for least, lower in ((0, True), (1, True), (2, True), (3, False)):
+        t = F.coalesce("text", F.lit(""))
+        old = F.split(F.regexp_replace(F.lower(t) if lower else t, r"[^A-Za-z0-9_\s'-]", " "), r"\s+")
+        old = F.filter(old, lambda w: F.length(w) >= least)  # noqa: B023
+        for row in df.select("text", text.tokenize(F.col("text"), least, False, lower).alias("new"), old.alias("old")).collect():
+            assert row["new"] == row["old"], (least, row)
+
+
+def test_tokens_are_found_by_one_regex_of_named_characters(spark):
+    plan = spark.createDataFrame([("a",)], "text string").select(text.tokenize(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_replace" not in plan and "[^" not in plan
+
+
+def test_stem_column_is_stem(spark):
+    words = "classes flies glass cats agreed eed bed hated ing sing running played happy by y ay sky dies is as a ss ed ating yy éy".split()
+    df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("want", text.stem(F.col("w")))
+    assert [tuple(r) for r in text.stem_column(df, "w").select("w", "want").collect()] == [(r["want"], r["want"]) for r in df.collect()]
