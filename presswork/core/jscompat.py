@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 #: White space as JavaScript's ``\s`` has it (a fixed value).
 JS_SPACE = r"[\s\x0B   -     　﻿]"
 
+#: The characters of ``JS_SPACE``, one by one.
+_SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E), 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
 
 def trim(c: Column) -> Column:
     """``String.prototype.trim``."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{JS_SPACE}+", ""), rf"{JS_SPACE}+\z", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def round2(c: Column) -> Column:

@@ -265,3 +265,13 @@ def test_jaccard_shuffles_distinct_tokens(spark, tmp_path):
     j = QUERIES["jaccard"](spark, str(tmp_path))
     assert "array_distinct" in j._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, j.collect())) == [(1, 1 / 3), (2, 0.0)]
+
+
+def test_textrank_sends_text_and_not_lists_of_tokens(spark):
+    d = spark.createDataFrame([(1, "The cat sat. A catK ran! Dogs ran? . é it's the CAT"), (2, "..."), (3, "one"), (4, None)], "doc_id long, text string")
+    r = summaries.textrank(d)
+    assert "array<array" not in r._jdf.queryExecution().analyzed().treeString() and "lambdafunction(filter" not in r._jdf.queryExecution().optimizedPlan().toString()
+    rows = r.orderBy("doc_id", "index").collect()
+    assert [(x["doc_id"], x["sentence"]) for x in rows] == [(1, "The cat sat"), (1, "A catK ran"), (1, "Dogs ran"), (1, "é it's the CAT"), (3, "one")]
+    want = summaries.rank([["cat", "sat"], ["catk", "ran"], ["dogs", "ran"], ["it's", "cat"]], summaries.TextRankOptions())
+    assert [x["score"] for x in rows[:4]] == want

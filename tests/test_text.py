@@ -92,3 +92,15 @@ def test_stem_column_is_stem(spark):
     words = "classes flies glass cats agreed eed bed hated ing sing running played happy by y ay sky dies is as a ss ed ating yy éy".split()
     df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("want", text.stem(F.col("w")))
     assert [tuple(r) for r in text.stem_column(df, "w").select("w", "want").collect()] == [(r["want"], r["want"]) for r in df.collect()]
+
+
+def test_trim_names_every_space_and_searches_nothing(spark):
+    from presswork.core.jscompat import _SPACES, JS_SPACE, trim
+
+    assert all(re.fullmatch(JS_SPACE, c) for c in _SPACES)
+    texts = [a + b + c for a in ("", " ﻿", _SPACES) for b in ("", "x", "é   x\x1f") for c in ("", "\n　", _SPACES)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.regexp_replace(F.regexp_replace("t", f"^{JS_SPACE}+", ""), rf"{JS_SPACE}+\z", "")
+    got = df.select(trim(F.col("t")).alias("new"), old.alias("old"))
+    assert "regexp" not in df.select(trim(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["new"] == r["old"] for r in got.collect())
