@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -275,3 +276,24 @@ def test_textrank_sends_text_and_not_lists_of_tokens(spark):
     assert [(x["doc_id"], x["sentence"]) for x in rows] == [(1, "The cat sat"), (1, "A catK ran"), (1, "Dogs ran"), (1, "é it's the CAT"), (3, "one")]
     want = summaries.rank([["cat", "sat"], ["catk", "ran"], ["dogs", "ran"], ["it's", "cat"]], summaries.TextRankOptions())
     assert [x["score"] for x in rows[:4]] == want
+
+
+def test_similar_documents_never_joins_terms(spark, monkeypatch):
+    words = "ka lo mi nu pe ra se tu".split()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, weights=range(1, 9), k=rng.randrange(0, 12))) for _ in range(90)]
+    d = docs(spark, *texts)
+    counts = [{w: t.split().count(w) for w in set(t.split())} for t in texts]
+    want = []
+    for q in range(0, 90, 10):
+        norm = [math.sqrt(sum(n * n for n in c.values())) for c in counts]
+        dot = {i: sum(n * c.get(w, 0) for w, n in counts[q].items()) for i, c in enumerate(counts) if i != q}
+        near = sorted((-(v / (norm[q] * norm[i])), i) for i, v in dot.items() if v)[:4]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
+    for sizes in ((4096, 1024), (7, 3)):
+        monkeypatch.setattr(terms, "DOCUMENTS", sizes[0])
+        monkeypatch.setattr(terms, "QUERIES", sizes[1])
+        r = terms.similar_documents(d, d.where("doc_id % 10 = 0"), 4)
+        plan = r._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "HashJoin" not in plan and "HashAggregate" not in plan
+        assert sorted(map(tuple, r.collect())) == want
